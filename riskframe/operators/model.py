@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.operators.metrics import cv_summary, ranking_metrics
 from riskframe.operators.prep import FeatureSpec, PrepStats, encoder, feature_names, fit_stats, training_sets
@@ -52,16 +52,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = counts.agg(
-        F.sum("n").alias("total"),
-        F.count(F.lit(1)).alias("classes"),
-        (F.sum(F.when(F.col("label") == 0, F.col("n"))) / F.sum(F.when(F.col("label") == 1, F.col("n")))).alias("ratio"),
-    )
-    return counts.join(F.broadcast(totals)).select(  # one row of totals
+    both = Window.partitionBy(F.lit(0))  # one row per class
+    n_of = {c: F.sum(F.when(F.col("label") == c, F.col("n"))).over(both) for c in (0, 1)}
+    return counts.select(
         "label",
         "n",
-        (F.col("total") / (F.col("classes") * F.col("n"))).alias("balanced"),
-        F.when(F.col("label") == 1, F.col("ratio")).otherwise(1.0).alias("positive_ratio"),
+        (F.sum("n").over(both) / (F.count(F.lit(1)).over(both) * F.col("n"))).alias("balanced"),
+        F.when(F.col("label") == 1, n_of[0] / n_of[1]).otherwise(1.0).alias("positive_ratio"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.operators.ordered import exact_quantiles
-from riskframe.session import materialize
+from riskframe.session import materialize, write_shared
 
 MISSING_LEVEL = "Missing"
 INFREQUENT = "infrequent"
@@ -304,9 +304,7 @@ def encoder(spark: SparkSession, spec: FeatureSpec, stats: PrepStats) -> Pipelin
             )
         )
         cases, widths = [], []
-        path = None
-        if stats.rare_table is not None:
-            path = materialize(stats.rare_table, "rare").inputFiles()[0].rsplit("/", 1)[0]
+        path = write_shared(stats.rare_table, "rare") if stats.rare_table is not None else None
         for i, (c, s) in enumerate(zip(spec.categorical, known)):
             f, extra = len(s.frequent), 1 if s.n_rare else 0
             is_rare = f"{indexes[i]} < {f + len(s.rare)}"

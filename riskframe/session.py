@@ -45,13 +45,17 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/riskframe/{name}-{uuid.uuid4().hex}"
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a new folder under the shared one; returns its path."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the optimizer
     the table's true size for its join choices.
     """
-    spark = df.sparkSession
-    path = new_shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
