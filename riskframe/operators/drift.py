@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskframe.functions.expressions import clipped, draw_int, draw_unit, next_level
 from riskframe.operators.ordered import BUCKET, long_values, range_cuts, running_totals
@@ -221,7 +221,7 @@ def _ks_tail(d: float, n_ref: int, n_cur: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(test: pd.Series, stat: pd.Series, levels: pd.Series, n_ref: pd.Series, n_cur: pd.Series) -> pd.Series:
     """One value per compared column, so the input has as many rows as columns."""
 
