@@ -181,7 +181,8 @@ def tree_nodes(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("bound"),
+        (F.col("nodeData.split.numCategories") > 0).alias("one_hot"),
     )
 
 
@@ -200,9 +201,12 @@ def tree_leaves(nodes: Sequence, weights: Sequence[float]) -> tuple[list[Leaf],
                 low, high, share = (np.array(v) for v in zip(*path.values()))
                 leaves.append(Leaf(value, np.array(list(path)), low, high, share))
             continue
-        f, cut = node["feature"], node["threshold"]
+        f, cut, below, above = node["feature"], node["bound"], node["left"], node["right"]
+        if node["one_hot"]:  # a split on 0 and 1 names the value that goes left
+            below, above = (below, above) if cut == 0.0 else (above, below)
+            cut = 0.5
         low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
-        for child, bounds in ((node["left"], (low, min(high, cut))), (node["right"], (max(low, cut), high))):
+        for child, bounds in ((below, (low, min(high, cut))), (above, (max(low, cut), high))):
             part = by_id[tree, child]["rows"] / node["rows"]
             stack.append(((tree, child), {**path, f: (*bounds, share * part)}))
     return leaves, base
@@ -217,8 +221,7 @@ def explainer(model: FittedModel, background: DataFrame | None = None) -> Explai
         means = model.encoder.transform(background).select(Summarizer.mean(F.col("features"))).first()[0].toArray()
         coefs = clf.coefficients.toArray()
         return Explainer(model.names, float(clf.intercept + means @ coefs), coefs, means)
-    spark = SparkSession.active()
-    nodes = tree_nodes(spark, clf)
+    nodes = tree_nodes(SparkSession.active(), clf)
     if nodes.count() > MAX_NODES:
         raise ValueError("the booster has too many nodes to send to every task")
     leaves, base = tree_leaves(nodes.collect(), clf.treeWeights)

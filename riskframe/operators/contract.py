@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,41 +50,59 @@ def coerce(df: DataFrame, contract: Contract) -> DataFrame:
     return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
-def _finding(rule: ColumnRule, check: str, failed: Column) -> Column:
-    found = F.struct(
-        F.lit(rule.name).alias("column_name"),
-        F.lit(check).alias("check_name"),
-        F.col(rule.name).cast("string").alias("failure"),
-    )
-    return F.when(failed, found)
-
-
-def row_checks(rule: ColumnRule) -> list[Column]:
-    """One struct column per check of a rule, NULL where the row passes."""
+def row_checks(df: DataFrame, rule: ColumnRule) -> list[tuple[str, Column]]:
+    """(check, failed) for each check of a rule that one row can show."""
     raw = F.col(rule.name)
-    value = raw.try_cast(rule.dtype)
-    checks = [_finding(rule, "coerce", raw.isNotNull() & value.isNull())]
+    value, checks = raw, []
+    if df.schema[rule.name].dataType.simpleString() != rule.dtype:
+        value = raw.try_cast(rule.dtype)
+        checks.append(("coerce", raw.isNotNull() & value.isNull()))
     if not rule.nullable:
-        checks.append(_finding(rule, "not_null", raw.isNull()))
+        checks.append(("not_null", raw.isNull()))
     if rule.allowed is not None:
-        checks.append(_finding(rule, "isin", ~value.isin(list(rule.allowed))))
+        checks.append(("isin", ~value.isin(list(rule.allowed))))
     if rule.at_least is not None and rule.at_most is not None:
-        checks.append(_finding(rule, "in_range", ~value.between(rule.at_least, rule.at_most)))
+        checks.append(("in_range", ~value.between(rule.at_least, rule.at_most)))
     elif rule.at_least is not None:
-        checks.append(_finding(rule, "at_least", value < rule.at_least))
+        checks.append(("at_least", value < rule.at_least))
     elif rule.at_most is not None:
-        checks.append(_finding(rule, "at_most", value > rule.at_most))
+        checks.append(("at_most", value > rule.at_most))
     return checks
 
 
-def row_findings(df: DataFrame, contract: Contract) -> DataFrame:
-    """Failures a row shows on its own: one narrow scan, no shuffle."""
-    checks = [c for r in contract.rules if r.name in df.columns for c in row_checks(r)]
+def _declared(df: DataFrame, contract: Contract) -> list[tuple[ColumnRule, str, Column]]:
+    return [(r, name, failed) for r in contract.rules if r.name in df.columns for name, failed in row_checks(df, r)]
+
+
+def _any_failed(checks: Sequence[tuple[ColumnRule, str, Column]]) -> Column:
+    """True if a check failed; NULL or false if not."""
+    return reduce(lambda a, b: a | b, [failed for _, _, failed in checks])
+
+
+def row_findings(df: DataFrame, contract: Contract, only: Sequence[str] | None = None) -> DataFrame:
+    """Failures a row shows on its own: one narrow scan, no shuffle.
+
+    Rows without a failure, nearly all of them, leave at the first filter.
+    """
+    checks = [c for c in _declared(df, contract) if only is None or c[1] in only]
+    if not checks:
+        return df.sparkSession.createDataFrame([], FINDINGS_SCHEMA)
+    cells = [
+        F.when(
+            failed,
+            F.struct(
+                F.lit(rule.name).alias("column_name"),
+                F.lit(name).alias("check_name"),
+                F.col(rule.name).cast("string").alias("failure"),
+            ),
+        )
+        for rule, name, failed in checks
+    ]
     key = F.col(contract.key).cast("string") if contract.key in df.columns else F.lit(None).cast("string")
     return (
-        df.select(key.alias("row_key"), F.array_compact(F.array(*checks)).alias("found"))
-        .where(F.size("found") > 0)
-        .select("row_key", F.explode("found").alias("f"))
+        df.where(_any_failed(checks))
+        .select(key.alias("row_key"), F.explode(F.array(*cells)).alias("f"))
+        .where(F.col("f").isNotNull())
         .select("row_key", "f.*")
     )
 
@@ -160,6 +179,6 @@ def validate(df: DataFrame, contract: Contract, show: int = 10) -> DataFrame:
 
 def split_by_contract(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Rows that pass their own checks (in declared types), and row findings."""
-    checks = [c for r in contract.rules if r.name in df.columns for c in row_checks(r)]
-    passed = ~F.coalesce(*checks).isNotNull() if checks else F.lit(True)
+    checks = _declared(df, contract)
+    passed = ~F.coalesce(_any_failed(checks), F.lit(False)) if checks else F.lit(True)
     return coerce(df.where(passed), contract), row_findings(df, contract)

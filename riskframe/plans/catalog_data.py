@@ -90,7 +90,7 @@ def findings_sql(rules, *checks: str) -> str:
 
 def row_checks(*checks: str):
     def run(spark, d) -> DataFrame:
-        return contract.row_findings(view(spark, d, "enc"), enc.CONTRACT).where(F.col("check_name").isin(*checks))
+        return contract.row_findings(view(spark, d, "enc"), enc.CONTRACT, only=checks)
 
     return run
 
@@ -182,8 +182,11 @@ ORACLES["clean_sentinel"] = sql(
 )
 QUERIES["clean_leakage"] = lambda spark, d: clean.drop_leakage(
     view(spark, d, "enc"), RULES.leak_column, RULES.leak_values
-).select(enc.KEY, RULES.leak_column)
-ORACLES["clean_leakage"] = sql(f"SELECT encounter_id, discharge_disposition_id FROM enc WHERE {LEAK}", "enc")
+).select(enc.KEY, F.col(RULES.leak_column).cast("double").alias(RULES.leak_column))
+ORACLES["clean_leakage"] = sql(
+    f"SELECT encounter_id, CAST(discharge_disposition_id AS DOUBLE) AS discharge_disposition_id FROM enc WHERE {LEAK}",
+    "enc",
+)
 QUERIES["clean_invalid"] = lambda spark, d: clean.drop_invalid(
     view(spark, d, "enc"), RULES.invalid_column, RULES.invalid_value
 ).select(enc.KEY, "gender")
@@ -192,10 +195,24 @@ QUERIES["clean_target"] = lambda spark, d: clean.add_binary_target(
     view(spark, d, "enc").select(enc.KEY, "readmitted"), "readmitted", "<30", enc.TARGET
 )
 ORACLES["clean_target"] = sql(f"SELECT encounter_id, {TARGET_SQL} FROM enc", "enc")
-QUERIES["clean_full"] = lambda spark, d: clean.clean(view(spark, d, "enc"), RULES)
+# Whole numbers that can be missing are shown as floating numbers, which both
+# engines hand over alike.
+GAPS = ["discharge_disposition_id", "num_lab_procedures"]
+
+
+def clean_full(spark, d) -> DataFrame:
+    out = clean.clean(view(spark, d, "enc"), RULES)
+    return out.select(*[F.col(c).cast("double").alias(c) if c in GAPS else F.col(c) for c in out.columns])
+
+
+QUERIES["clean_full"] = clean_full
 ORACLES["clean_full"] = sql(
     "SELECT "
-    + ", ".join(f"{nulled(c)} AS {c}" for c in ENC_COLUMNS if c not in ("weight", "readmitted", *enc.DIAGNOSES))
+    + ", ".join(
+        f"{f'CAST({c} AS DOUBLE)' if c in GAPS else nulled(c)} AS {c}"
+        for c in ENC_COLUMNS
+        if c not in ("weight", "readmitted", *enc.DIAGNOSES)
+    )
     + f", {TARGET_SQL}, "
     + ", ".join(f"{code_sql(nulled(c))} AS {c}_group" for c in enc.DIAGNOSES)
     + f" FROM enc WHERE {LEAK} AND {VALID}",

@@ -21,7 +21,8 @@ SEED = 7
 def stressed(spark, d, kind: type) -> DataFrame:
     rules = [r for r in enc.STRESS if isinstance(r, kind)]
     rows = view(spark, d, "enc")
-    return drift.stress(rows, enc.KEY, rules, SEED).select(enc.KEY, *[r.column for r in rules if r.column in rows.columns])
+    out = drift.stress(rows, enc.KEY, rules, SEED).select(enc.KEY, *[r.column for r in rules])
+    return out.select(*[F.col(c).cast("double").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
 
 def numeric_sql(r: drift.NumericStress) -> str:
@@ -33,7 +34,7 @@ def numeric_sql(r: drift.NumericStress) -> str:
     out = f"CAST(round_even({out}, 0) AS INT)"
     if r.low is not None:
         out = f"CASE WHEN {r.column} IS NOT NULL THEN least(greatest({out}, {r.low}), {r.high}) END"
-    return f"{out} AS {r.column}"
+    return f"CAST({out} AS DOUBLE) AS {r.column}"
 
 
 def hit_sql(r) -> str:
