@@ -321,4 +321,4 @@ def reasons_column(explain: Explainer, top: int = TOP_REASONS) -> Column:
     """Reasons of an encoded row (needs its ``features`` column)."""
     _, indices, values = sparse_parts()
     found = reasons_udf(explain, top)(indices, values)
-    return F.zip_with(found["feature"], found["contribution"], reason)
+    return F.zip_with(found["feature"], found["contribution"], lambda f, c: reason(f, c))
