@@ -50,15 +50,17 @@ def grouped_code(
     other: str,
     missing: str,
     other_prefixes: Sequence[str] = (),
+    number: Column | None = None,
 ) -> Column:
     """Name of the first range a code falls in.
 
     ``ranges`` holds ``(name, low, high, high_included, single_value)``; a code
     that starts with one of ``other_prefixes``, is no number, or is in no range
-    is ``other``, a NULL is ``missing``.
+    is ``other``, a NULL is ``missing``. ``number`` is the code's number where a
+    projection before has read it.
     """
     c = as_col(c).cast("string")
-    number = text_number(c)
+    number = text_number(c) if number is None else number
 
     def hit(rule: tuple) -> Column:
         _, low, high, included, single = rule

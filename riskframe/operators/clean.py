@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.functions.expressions import as_col, grouped_code, text_columns, token_to_null
+from riskframe.functions.expressions import as_col, grouped_code, text_columns, text_number, token_to_null
 
 
 @dataclass(frozen=True)
@@ -69,10 +69,18 @@ def group_codes(
     other_prefixes: Sequence[str] = (),
     suffix: str = "_group",
 ) -> DataFrame:
-    """Replace raw code columns by their group names."""
-    groups = [grouped_code(c, ranges, other, missing, other_prefixes).alias(c + suffix) for c in columns]
+    """Replace raw code columns by their group names.
+
+    Each code is read as a number once, in a projection of its own, and not
+    again in every branch of the grouping.
+    """
     kept = [c for c in df.columns if c not in set(columns)]
-    return df.select(*kept, *groups)
+    read = df.select("*", *[text_number(F.col(c).cast("string")).alias(f"_number_{c}") for c in columns])
+    groups = [
+        grouped_code(c, ranges, other, missing, other_prefixes, F.col(f"_number_{c}")).alias(c + suffix)
+        for c in columns
+    ]
+    return read.select(*kept, *groups)
 
 
 def clean(df: DataFrame, rules: CleanRules) -> DataFrame:

@@ -25,7 +25,7 @@ def threshold_rank(n: int, level: float) -> int:
 def conformal_threshold(df: DataFrame, prob: str, label: str, level: float = LEVEL) -> tuple[int, int, float]:
     """(rows, rank, threshold) from the conform split."""
     scored = df.select(nonconformity(F.col(prob).cast("double"), F.col(label)).alias("score"))
-    found, counts = values_at_ranks(scored, ["score"], lambda _s, _c, n: [threshold_rank(n, level) - 1])
+    found, counts, _ = values_at_ranks(scored, ["score"], lambda _s, _c, n: [threshold_rank(n, level) - 1])
     n = counts["all", "score"]
     if n == 0:
         raise ValueError("the conform split is empty")

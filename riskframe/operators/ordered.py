@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -133,84 +134,158 @@ def global_index(
     )
 
 
+# Quantile sketches are read at GRID points; a rank is then looked for within a
+# few grid steps, and the sketch is repeated inside the bracket as long as that
+# holds more rows than one task should sort.
+GRID = 2000
+BRACKET_ROWS = 5_000_000
+MARGINS = (1, 50, GRID)
+
+
+@dataclass
+class _Bracket:
+    """Where ranks of one (set, column) are: between two values, both included."""
+
+    set_name: str
+    column: str
+    ranks: list[int] | None
+    low: float = -INF
+    high: float = INF
+
+    def inside(self, v: Column) -> Column:
+        out = v.isNotNull()
+        if self.low > -INF:
+            out = out & (v >= F.lit(self.low))
+        if self.high < INF:
+            out = out & (v <= F.lit(self.high))
+        return out
+
+    def below(self, v: Column) -> Column:
+        return v < F.lit(self.low) if self.low > -INF else F.lit(False)
+
+
+def _cells(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list[tuple[Column, Column]]:
+    """(condition of the set, value) of each bracket; NaN counts as missing."""
+    return [(sets[b.set_name], F.nanvl(F.col(b.column).cast("double"), F.lit(None))) for b in brackets]
+
+
+def _sketch(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket], also: Sequence[Column]):
+    """One aggregate row: rows below and inside each bracket, grid of the inside."""
+    shares = [i / GRID for i in range(1, GRID)]
+    terms = []
+    for (inset, v), b in zip(_cells(df, sets, brackets), brackets):
+        terms += [
+            F.count_if(inset & b.below(v)),
+            F.count_if(inset & b.inside(v)),
+            F.percentile_approx(F.when(inset & b.inside(v), v), shares, 10 * GRID),
+        ]
+    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate([*terms, *also])]).first()
+    per = [(row[3 * i], row[3 * i + 1], row[3 * i + 2] or []) for i in range(len(brackets))]
+    return per, list(row[3 * len(brackets) :])
+
+
+def _narrowed(b: _Bracket, below: int, inside: int, grid: Sequence[float], margin: int) -> list[_Bracket]:
+    """The bracket cut down around its ranks, ranks of one place together."""
+    out: dict[tuple[float, float], list[int]] = {}
+    for rank in sorted(set(b.ranks)):
+        step = math.floor((rank - below) / inside * GRID)
+        low, high = step - margin, step + 1 + margin
+        at = (grid[low - 1] if low >= 1 else b.low, grid[high - 1] if high <= GRID - 1 else b.high)
+        out.setdefault(at, []).append(rank)
+    return [_Bracket(b.set_name, b.column, ranks, *at) for at, ranks in out.items()]
+
+
+def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list:
+    """Values at the brackets' ranks; a rank outside its bracket gives no row.
+
+    Only values inside a bracket keep their own level; all values below it are
+    one level, so the shuffle carries little more than the brackets' insides.
+    """
+    cells = []
+    for i, ((inset, v), b) in enumerate(zip(_cells(df, sets, brackets), brackets)):
+        level = F.when(b.inside(v), v)
+        kept = inset & (b.inside(v) | b.below(v))
+        cells.append(F.when(kept, F.struct(F.lit(i).alias("bracket"), level.alias("level"))))
+    levels = (
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .where(F.col("cell").isNotNull())
+        .groupBy("cell.bracket", "cell.level")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    asked = df.sparkSession.createDataFrame(
+        [(i, rank) for i, b in enumerate(brackets) for rank in b.ranks], "bracket int, rank bigint"
+    )
+    upto = (
+        Window.partitionBy("bracket")
+        .orderBy(F.asc_nulls_first("level"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    return (
+        levels.withColumn("upto", F.sum("n").over(upto))
+        .join(F.broadcast(asked), "bracket")  # one row per rank asked for
+        .where(hit & F.col("level").isNotNull())
+        .select("bracket", "rank", "level")
+        .collect()
+    )
+
+
 def values_at_ranks(
     df: DataFrame,
     columns: Sequence[str],
     ranks: Callable[[str, str, int], Sequence[int]],
     sets: Mapping[str, Column] | None = None,
-    ranges: int | None = None,
-) -> tuple[dict[tuple[str, str], dict[int, float]], dict[tuple[str, str], int]]:
+    also: Sequence[Column] = (),
+) -> tuple[dict[tuple[str, str], dict[int, float]], dict[tuple[str, str], int], list]:
     """Exact values at 0-based ranks, for several columns and row sets at once.
 
     ``ranks(set, column, n)`` names the ranks wanted among n non-missing values.
-    Counts per range tell which range holds a rank; only the values of those
-    ranges are then shuffled. Returns the values and the counts.
+    Returns the values, the counts, and the results of the aggregates ``also``,
+    which are computed in the first pass. Two passes over the table, and one
+    more for every factor of several hundred beyond some billion rows.
     """
     sets = dict(sets or {"all": F.lit(True)})
-    names = list(sets)
-    flagged = df.select(*[F.col(c).cast("double").alias(c) for c in columns], *[p.alias(f"_s{i}") for i, p in enumerate(sets.values())])
-    flags = [f"_s{i}" for i in range(len(names))]
-    cuts = range_cuts(flagged, columns, ranges)
-    cells = long_values(flagged, columns, cuts, flags)
-
-    # At most columns x ranges rows.
-    per_range = (
-        cells.groupBy("column_name", BUCKET).agg(*[F.count_if(F.col(f)).alias(f) for f in flags]).collect()
-    )
-    counts: dict[tuple[str, str], int] = {(s, c): 0 for s in names for c in columns}
-    by_column: dict[str, list] = {c: [] for c in columns}
-    for row in per_range:
-        by_column[row["column_name"]].append(row)
-    wanted: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
-    for c, rows in by_column.items():
-        rows.sort(key=lambda r: r[BUCKET])
-        for s, flag in zip(names, flags):
-            n = sum(r[flag] for r in rows)
-            counts[s, c] = n
-            if n == 0:
-                continue
-            for rank in set(ranks(s, c, n)):
-                seen = 0
-                for r in rows:
-                    if rank < seen + r[flag]:
-                        wanted.setdefault((c, r[BUCKET]), []).append((s, rank, rank - seen))
-                        break
-                    seen += r[flag]
-    found: dict[tuple[str, str], dict[int, float]] = {(s, c): {} for s in names for c in columns}
-    if not wanted:
-        return found, counts
-
-    # One row per rank asked for; the in-range table keeps only these ranges.
-    asked = df.sparkSession.createDataFrame(
-        [(c, b, s, rank, at) for (c, b), asks in wanted.items() for s, rank, at in asks],
-        f"column_name string, {BUCKET} int, set_name string, rank bigint, place bigint",
-    )
-    targets = asked.select("column_name", BUCKET).distinct()
-    levels = (
-        cells.join(F.broadcast(targets), ["column_name", BUCKET], "left_semi")
-        .groupBy("column_name", BUCKET, "value")
-        .agg(*[F.count_if(F.col(f)).alias(f) for f in flags])
-    )
-    upto = (
-        Window.partitionBy("column_name", BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = levels.select("*", *[F.sum(f).over(upto).alias(f"_u{f}") for f in flags])
-    per_set = [
-        F.struct(F.lit(s).alias("set_name"), F.col(f).alias("n"), F.col(f"_u{f}").alias("upto"))
-        for s, f in zip(names, flags)
-    ]
-    running = summed.select("column_name", BUCKET, "value", F.explode(F.array(*per_set)).alias("r")).select(
-        "column_name", BUCKET, "value", "r.*"
-    )
-    hits = (
-        running.join(F.broadcast(asked), ["column_name", BUCKET, "set_name"])
-        .where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
-        .select("set_name", "column_name", "rank", "value")
-        .collect()
-    )
-    for row in hits:
-        found[row["set_name"], row["column_name"]][row["rank"]] = row["value"]
-    return found, counts
+    start = [_Bracket(s, c, None) for s in sets for c in columns]
+    per, extra = _sketch(df, sets, start, also)
+    counts = {(b.set_name, b.column): inside for b, (_, inside, _) in zip(start, per)}
+    found: dict[tuple[str, str], dict[int, float]] = {key: {} for key in counts}
+    for b in start:
+        n = counts[b.set_name, b.column]
+        b.ranks = sorted(set(ranks(b.set_name, b.column, n))) if n else []
+
+    open_, sketches = [b for b in start if b.ranks], [p for b, p in zip(start, per) if b.ranks]
+    for margin in MARGINS:
+        brackets = [x for b, p in zip(open_, sketches) for x in _narrowed(b, *p, margin)]
+        if margin == MARGINS[0]:
+            brackets = _refined(df, sets, brackets, max(counts.values(), default=0))
+        for row in _pick(df, sets, brackets) if brackets else []:
+            b = brackets[row["bracket"]]
+            found[b.set_name, b.column][row["rank"]] = row["level"]
+        missed = []
+        for b, p in zip(open_, sketches):
+            b.ranks = [r for r in b.ranks if r not in found[b.set_name, b.column]]
+            if b.ranks:
+                missed.append((b, p))
+        if not missed:
+            break
+        open_, sketches = [b for b, _ in missed], [p for _, p in missed]
+    return found, counts, extra
+
+
+def _refined(df: DataFrame, sets: Mapping[str, Column], brackets: list[_Bracket], rows: int) -> list[_Bracket]:
+    """Narrow brackets further while they may hold too many rows for one task."""
+    rows = rows * (2 * MARGINS[0] + 1) // GRID
+    while brackets and rows > BRACKET_ROWS:
+        per, _ = _sketch(df, sets, brackets, ())
+        inside = [all(p[0] <= r < p[0] + p[1] for r in b.ranks) for b, p in zip(brackets, per)]
+        narrow = [
+            x for b, p, ok in zip(brackets, per, inside) for x in (_narrowed(b, *p, MARGINS[0]) if ok else [b])
+        ]
+        largest = max((p[1] for p in per), default=0) * (2 * MARGINS[0] + 1) // GRID
+        if not all(inside) or largest >= rows:
+            return narrow
+        brackets, rows = narrow, largest
+    return brackets
 
 
 def exact_quantiles(
@@ -218,15 +293,25 @@ def exact_quantiles(
     columns: Sequence[str],
     shares: Sequence[float],
     sets: Mapping[str, Column] | None = None,
-    ranges: int | None = None,
 ) -> dict[tuple[str, str], list[float | None]]:
     """Interpolated quantiles per (set, column), exact at any table size."""
+    return quantiles_with(df, columns, shares, sets)[0]
+
+
+def quantiles_with(
+    df: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[float],
+    sets: Mapping[str, Column] | None = None,
+    also: Sequence[Column] = (),
+) -> tuple[dict[tuple[str, str], list[float | None]], list]:
+    """The quantiles, and the results of further aggregates of the first pass."""
 
     def ranks(_s: str, _c: str, n: int) -> list[int]:
         places = [q * (n - 1) for q in shares]
         return [r for p in places for r in (math.floor(p), math.ceil(p))]
 
-    found, counts = values_at_ranks(df, columns, ranks, sets, ranges)
+    found, counts, extra = values_at_ranks(df, columns, ranks, sets, also)
     out: dict[tuple[str, str], list[float | None]] = {}
     for key, values in found.items():
         n = counts[key]
@@ -239,4 +324,4 @@ def exact_quantiles(
             low, high = values[math.floor(p)], values[math.ceil(p)]
             row.append(low + (high - low) * (p - math.floor(p)))
         out[key] = row
-    return out
+    return out, extra

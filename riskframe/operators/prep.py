@@ -7,6 +7,7 @@ so it runs in the JVM and is saved and loaded like any other model.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskframe.operators.ordered import exact_quantiles
+from riskframe.operators.ordered import quantiles_with
 from riskframe.session import materialize, write_shared
 
 MISSING_LEVEL = "Missing"
@@ -152,18 +153,28 @@ def numeric_stats(
     sets = dict(sets or {"all": F.lit(True)})
     if not numeric:
         return {s: {} for s in sets}
-    medians = {k: v[0] or 0.0 for k, v in exact_quantiles(df, numeric, [0.5], sets).items()}
-    terms = []
-    for s, inside in sets.items():
+    moments = []
+    for inside in sets.values():
         for c in numeric:
-            filled = F.when(inside, F.coalesce(F.col(c).cast("double"), F.lit(medians[s, c])))
-            terms += [F.avg(filled), F.stddev_pop(filled)]
-    row = iter(df.agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)]).first())  # one row
+            value = F.when(inside, F.nanvl(F.col(c).cast("double"), F.lit(None)))
+            moments += [F.count_if(inside), F.count(value), F.avg(value), F.var_pop(value)]
+    medians, row = quantiles_with(df, numeric, [0.5], sets, moments)
+    found = iter(row)
     return {
-        s: {c: NumericStats(medians[s, c], next(row) or 0.0, next(row) or 1.0) for c in numeric} for s in sets
+        s: {c: filled_moments(medians[s, c][0], next(found), next(found), next(found), next(found)) for c in numeric}
+        for s in sets
     }
 
 
+def filled_moments(median, n: int, present: int, mean, var) -> NumericStats:
+    """Moments of n values of which the missing ones took the median."""
+    if not present:
+        return NumericStats(0.0, 0.0, 1.0)
+    share = (n - present) / n
+    spread = (1 - share) * (var + share * (median - mean) ** 2)
+    return NumericStats(median, mean + share * (median - mean), math.sqrt(spread) or 1.0)
+
+
 def category_stats(
     df: DataFrame,
     categorical: Sequence[str],

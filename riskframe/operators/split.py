@@ -127,7 +127,7 @@ def fixed_sample(df: DataFrame, k: int, *keys: str, seed: int = SEED) -> DataFra
     if k <= TOP_K_LIMIT:
         return df.orderBy(*order).limit(k)
     draws = df.withColumn("_draw", digest_number(digest).cast("double"))
-    found, counts = values_at_ranks(draws, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
+    found, counts, _ = values_at_ranks(draws, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
     if counts["all", "_draw"] <= k:
         return df
     edge = found["all", "_draw"][k - 1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import clean, contract, profile
 from riskframe.operators.contract import ColumnRule, Contract
-from riskframe.functions.expressions import NUMBER_PATTERN, grouped_code
+from riskframe.functions.expressions import NUMBER_PATTERN
 from riskframe.plans import encounters as enc
 from riskframe.plans.standins import rounded, sql, table, view
 from riskframe.sources.tables import load_table
@@ -229,8 +229,11 @@ ORACLES["clean_metrics"] = sql(
 
 
 def code_group(spark, d) -> DataFrame:
-    group = grouped_code("code", enc.DIAGNOSIS_RANGES, "Other", "Missing", enc.DIAGNOSIS_OTHER_PREFIXES)
-    return view(spark, d, "codes").select("l_orderkey", "l_linenumber", "code", group.alias("code_group"))
+    rows = view(spark, d, "codes").select("l_orderkey", "l_linenumber", "code", F.col("code").alias("raw"))
+    grouped = clean.group_codes(
+        rows, ["code"], enc.DIAGNOSIS_RANGES, "Other", "Missing", enc.DIAGNOSIS_OTHER_PREFIXES
+    )
+    return grouped.withColumnRenamed("raw", "code")
 
 
 QUERIES["code_group"] = code_group

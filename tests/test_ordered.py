@@ -8,20 +8,40 @@ from riskframe.operators import ordered
 from riskframe.operators.keyed import attach_by_key
 
 
-@pytest.mark.parametrize("seed, ranges", [(0, 2), (1, 8), (2, 50)])
-def test_quantiles_equal_numpy(spark, seed, ranges):
+@pytest.mark.parametrize(
+    "seed, grid, bracket, margins",
+    [(0, 2000, 10**6, (1, 50, 2000)), (1, 20, 10, (1, 5, 20)), (3, 5, 3, (0, 1, 5))],
+)
+def test_quantiles_equal_numpy(spark, seed, grid, bracket, margins, monkeypatch):
+    """Also with sketches inside brackets, and with brackets that miss."""
+    monkeypatch.setattr(ordered, "GRID", grid)
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", bracket)
+    monkeypatch.setattr(ordered, "MARGINS", margins)
     rng = random.Random(seed)
     rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)) if rng.random() < 0.8 else None, i % 3) for i in range(701)]
     df = spark.createDataFrame(rows, "a double, b double, s int")
     shares = [0.0, 0.1, 0.5, 0.77, 1.0]
     sets = {"all": F.lit(True), "some": F.col("s") != 1}
-    out = ordered.exact_quantiles(df, ["a", "b"], shares, sets, ranges)
+    out = ordered.exact_quantiles(df, ["a", "b"], shares, sets)
     for name, keep in (("all", lambda r: True), ("some", lambda r: r[2] != 1)):
         for i, c in enumerate("ab"):
             want = np.quantile([r[i] for r in rows if keep(r) and r[i] is not None], shares)
             assert np.allclose(out[name, c], want, atol=1e-12)
 
 
+def test_ranks_outside_their_bracket_are_looked_for_again(spark, monkeypatch):
+    narrowed = ordered._narrowed
+
+    def wrong_at_first(b, below, inside, grid, margin):
+        if margin == ordered.MARGINS[0]:
+            return [ordered._Bracket(b.set_name, b.column, list(b.ranks), 7.0, 8.0)]
+        return narrowed(b, below, inside, grid, margin)
+
+    monkeypatch.setattr(ordered, "_narrowed", wrong_at_first)
+    df = spark.createDataFrame([(float(i),) for i in range(100)], "a double")
+    assert ordered.exact_quantiles(df, ["a"], [0.0, 0.07, 0.5, 1.0])["all", "a"] == [0.0, 6.930000000000001, 49.5, 99.0]
+
+
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert ordered.exact_quantiles(df, ["a"], [0.5]) == {("all", "a"): [None]}
@@ -29,7 +49,7 @@ def test_quantile_of_nothing(spark):
 
 def test_one_value_holding_most_rows(spark):
     df = spark.createDataFrame([(1.0,)] * 900 + [(float(i),) for i in range(100)], "a double")
-    found, n = ordered.values_at_ranks(df, ["a"], lambda *_: [0, 1, 500, 999])
+    found, n, _ = ordered.values_at_ranks(df, ["a"], lambda *_: [0, 1, 500, 999])
     assert found["all", "a"] == {0: 0.0, 1: 1.0, 500: 1.0, 999: 99.0} and n["all", "a"] == 1000
 
 
