@@ -137,7 +137,7 @@ def global_index(
 # Quantile sketches are read at GRID points; a rank is then looked for within a
 # few grid steps, and the sketch is repeated inside the bracket as long as that
 # holds more rows than one task should sort.
-GRID = 2000
+GRID = 400
 BRACKET_ROWS = 5_000_000
 MARGINS = (1, 50, GRID)
 
@@ -164,24 +164,24 @@ class _Bracket:
         return v < F.lit(self.low) if self.low > -INF else F.lit(False)
 
 
-def _cells(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list[tuple[Column, Column]]:
-    """(condition of the set, value) of each bracket; NaN counts as missing."""
-    return [(sets[b.set_name], F.nanvl(F.col(b.column).cast("double"), F.lit(None))) for b in brackets]
+def _number(c: str) -> Column:
+    """A numeric column as double; NaN counts as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
 
 
-def _sketch(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket], also: Sequence[Column]):
-    """One aggregate row: rows below and inside each bracket, grid of the inside."""
-    shares = [i / GRID for i in range(1, GRID)]
+def _grid(v: Column) -> Column:
+    return F.percentile_approx(v, [i / GRID for i in range(1, GRID)], 10 * GRID)
+
+
+def _sketch(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list[tuple]:
+    """Per bracket: rows below, rows inside, grid of the inside; one pass, one row."""
     terms = []
-    for (inset, v), b in zip(_cells(df, sets, brackets), brackets):
-        terms += [
-            F.count_if(inset & b.below(v)),
-            F.count_if(inset & b.inside(v)),
-            F.percentile_approx(F.when(inset & b.inside(v), v), shares, 10 * GRID),
-        ]
-    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate([*terms, *also])]).first()
-    per = [(row[3 * i], row[3 * i + 1], row[3 * i + 2] or []) for i in range(len(brackets))]
-    return per, list(row[3 * len(brackets) :])
+    for b in brackets:
+        v = F.when(sets[b.set_name], _number(b.column))
+        inner = F.when(b.inside(v), v)
+        terms += [F.count_if(b.below(v)), F.count(inner), _grid(inner)]
+    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)]).first()
+    return [(row[3 * i], row[3 * i + 1], row[3 * i + 2] or []) for i in range(len(brackets))]
 
 
 def _narrowed(b: _Bracket, below: int, inside: int, grid: Sequence[float], margin: int) -> list[_Bracket]:
@@ -198,34 +198,46 @@ def _narrowed(b: _Bracket, below: int, inside: int, grid: Sequence[float], margi
 def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list:
     """Values at the brackets' ranks; a rank outside its bracket gives no row.
 
-    Only values inside a bracket keep their own level; all values below it are
-    one level, so the shuffle carries little more than the brackets' insides.
+    The brackets' ends are the cut points. Only values in a bracket keep their
+    own level, all others of a range are one, so the shuffle carries little
+    more than the brackets' insides.
     """
-    cells = []
-    for i, ((inset, v), b) in enumerate(zip(_cells(df, sets, brackets), brackets)):
-        level = F.when(b.inside(v), v)
-        kept = inset & (b.inside(v) | b.below(v))
-        cells.append(F.when(kept, F.struct(F.lit(i).alias("bracket"), level.alias("level"))))
+    columns = list(dict.fromkeys(b.column for b in brackets))
+    flags = {s: f"_s{i}" for i, s in enumerate(sets)}
+    flagged = df.select(
+        *[inset.alias(flags[s]) for s, inset in sets.items()],
+        *[_number(c).alias(c) for c in columns],
+    )
+    cuts, kept = {}, F.lit(False)
+    for c in columns:
+        spans = [(b.low, math.nextafter(b.high, INF)) for b in brackets if b.column == c]
+        cuts[c] = sorted({e for span in spans for e in span if math.isfinite(e)}) or [0.0]
+        edges = [-INF, *cuts[c], INF]
+        whole = [i for i, at in enumerate(zip(edges, edges[1:])) if any(lo <= at[0] and at[1] <= hi for lo, hi in spans)]
+        kept = kept | ((F.col("column_name") == c) & F.col(BUCKET).isin(whole))
+    level = F.when(kept, F.col("value")).alias("level")
     levels = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .where(F.col("cell").isNotNull())
-        .groupBy("cell.bracket", "cell.level")
-        .agg(F.count(F.lit(1)).alias("n"))
+        long_values(flagged, columns, cuts, list(flags.values()))
+        .groupBy("column_name", BUCKET, level)
+        .agg(*[F.count_if(f).alias(f) for f in flags.values()])
     )
+    totals = running_totals(levels, "level", list(flags.values()), ["column_name"])
+    per_set = [
+        F.struct(F.lit(s).alias("set_name"), F.col(f).alias("n"), F.col(f"cum_{f}").alias("upto"))
+        for s, f in flags.items()
+    ]
     asked = df.sparkSession.createDataFrame(
-        [(i, rank) for i, b in enumerate(brackets) for rank in b.ranks], "bracket int, rank bigint"
-    )
-    upto = (
-        Window.partitionBy("bracket")
-        .orderBy(F.asc_nulls_first("level"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sorted({(b.set_name, b.column, rank) for b in brackets for rank in b.ranks}),
+        "set_name string, column_name string, rank bigint",
     )
     hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
     return (
-        levels.withColumn("upto", F.sum("n").over(upto))
-        .join(F.broadcast(asked), "bracket")  # one row per rank asked for
-        .where(hit & F.col("level").isNotNull())
-        .select("bracket", "rank", "level")
+        totals.where(F.col("level").isNotNull())
+        .select("column_name", "level", F.explode(F.array(*per_set)).alias("r"))
+        .select("column_name", "level", "r.*")
+        .join(F.broadcast(asked), ["set_name", "column_name"])  # one row per rank asked for
+        .where(hit)
+        .select("set_name", "column_name", "rank", "level")
         .collect()
     )
 
@@ -245,22 +257,28 @@ def values_at_ranks(
     more for every factor of several hundred beyond some billion rows.
     """
     sets = dict(sets or {"all": F.lit(True)})
-    start = [_Bracket(s, c, None) for s in sets for c in columns]
-    per, extra = _sketch(df, sets, start, also)
-    counts = {(b.set_name, b.column): inside for b, (_, inside, _) in zip(start, per)}
-    found: dict[tuple[str, str], dict[int, float]] = {key: {} for key in counts}
-    for b in start:
-        n = counts[b.set_name, b.column]
-        b.ranks = sorted(set(ranks(b.set_name, b.column, n))) if n else []
-
-    open_, sketches = [b for b in start if b.ranks], [p for b, p in zip(start, per) if b.ranks]
+    keys = [(name, c) for name in sets for c in columns]
+    terms = [_grid(_number(c)) for c in columns]
+    terms += [F.count_if(sets[name] & _number(c).isNotNull()) for name, c in keys]
+    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate([*terms, *also])]).first()  # one row
+    grids = {c: row[i] or [] for i, c in enumerate(columns)}
+    counts = dict(zip(keys, row[len(columns) : len(terms)]))
+    extra = list(row[len(terms) :])
+    found: dict[tuple[str, str], dict[int, float]] = {key: {} for key in keys}
+
+    # One sketch per column serves all sets: it only says where to look first.
+    open_, sketches = [], []
+    for (name, c), n in counts.items():
+        if n:
+            open_.append(_Bracket(name, c, sorted(set(ranks(name, c, n)))))
+            sketches.append((0, n, grids[c]))
+    spread = 0 if len(sets) == 1 else math.ceil(2 * GRID / math.sqrt(max(1, min(n for n in counts.values()))))
     for margin in MARGINS:
-        brackets = [x for b, p in zip(open_, sketches) for x in _narrowed(b, *p, margin)]
+        brackets = [x for b, p in zip(open_, sketches) for x in _narrowed(b, *p, min(margin + spread, GRID))]
         if margin == MARGINS[0]:
             brackets = _refined(df, sets, brackets, max(counts.values(), default=0))
         for row in _pick(df, sets, brackets) if brackets else []:
-            b = brackets[row["bracket"]]
-            found[b.set_name, b.column][row["rank"]] = row["level"]
+            found[row["set_name"], row["column_name"]][row["rank"]] = row["level"]
         missed = []
         for b, p in zip(open_, sketches):
             b.ranks = [r for r in b.ranks if r not in found[b.set_name, b.column]]
@@ -276,7 +294,7 @@ def _refined(df: DataFrame, sets: Mapping[str, Column], brackets: list[_Bracket]
     """Narrow brackets further while they may hold too many rows for one task."""
     rows = rows * (2 * MARGINS[0] + 1) // GRID
     while brackets and rows > BRACKET_ROWS:
-        per, _ = _sketch(df, sets, brackets, ())
+        per = _sketch(df, sets, brackets)
         inside = [all(p[0] <= r < p[0] + p[1] for r in b.ranks) for b, p in zip(brackets, per)]
         narrow = [
             x for b, p, ok in zip(brackets, per, inside) for x in (_narrowed(b, *p, MARGINS[0]) if ok else [b])

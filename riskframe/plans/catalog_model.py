@@ -8,6 +8,7 @@ from riskframe.operators import attrib, audit, calibrate, conformal, metrics, mo
 from riskframe.plans.catalog_prep import DOC_CATEGORICAL
 from riskframe.plans.catalog_split import folds_sql
 from riskframe.plans.standins import rounded, sql, view
+from riskframe.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -274,7 +275,7 @@ ORACLES["lr_line"] = sql(
 
 
 def lr_score(spark, d) -> DataFrame:
-    wide = view(spark, d, "wide")
+    wide = materialize(view(spark, d, "wide"), "wide")
     fitted = model.fit_model(wide, WIDE_SPEC, "y", model.logistic_learner())
     return model.score(wide, fitted).select("o_orderkey", "y", "p")
 

@@ -9,6 +9,7 @@ from riskframe.plans import encounters as enc
 from riskframe.plans.catalog_data import ENC_COLUMNS
 from riskframe.plans.standins import digest_number_sql, rounded, sql, view
 from riskframe.operators.split import hash_split
+from riskframe.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -42,7 +43,7 @@ ORACLES["feature_spec"] = sql(
 
 
 def impute_median(spark, d) -> DataFrame:
-    wide = view(spark, d, "wide").select("o_orderkey", *WIDE_NUMERIC)
+    wide = materialize(view(spark, d, "wide").select("o_orderkey", *WIDE_NUMERIC), "wide")
     stats = prep.numeric_stats(wide, WIDE_NUMERIC)["all"]
     return rounded(
         wide.select(
@@ -64,7 +65,7 @@ ORACLES["impute_median"] = sql(
 
 
 def scale_standard(spark, d) -> DataFrame:
-    wide = view(spark, d, "wide").select("o_orderkey", *WIDE_NUMERIC)
+    wide = materialize(view(spark, d, "wide").select("o_orderkey", *WIDE_NUMERIC), "wide")
     return rounded(prep.impute_and_scale(wide, prep.numeric_stats(wide, WIDE_NUMERIC)["all"]))
 
 
@@ -162,7 +163,7 @@ ORACLES["encoded_check"] = sql(
 
 
 def fold_stats(spark, d) -> DataFrame:
-    tagged = hash_split(view(spark, d, "wide"), "o_custkey", 5)
+    tagged = materialize(hash_split(view(spark, d, "wide"), "o_custkey", 5).select("fold", *WIDE_NUMERIC), "tagged")
     return rounded(prep.fold_stats(tagged, "fold", 5, WIDE_NUMERIC))
 
 
