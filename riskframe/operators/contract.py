@@ -8,6 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.operators.keyed import attach_by_key
+from riskframe.session import materialize
+
 FINDINGS_SCHEMA = "row_key string, column_name string, check_name string, failure string"
 
 
@@ -123,8 +126,8 @@ def duplicate_keys(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """All rows whose key is not unique (adaptive execution splits hot keys)."""
-    return df.join(duplicate_keys(df, *columns).select(*columns), list(columns), "left_semi")
+    """All rows whose key is not unique; the rows of a hot key stay spread out."""
+    return attach_by_key(df, materialize(duplicate_keys(df, *columns), "duplicates"), columns, "n_rows")
 
 
 def unique_findings(df: DataFrame, contract: Contract) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
@@ -9,30 +12,32 @@ HOT_SHARE = 1_000
 
 
 def attach_by_key(
-    rows: DataFrame, keyed: DataFrame, key: str, count: str = "n", hot_rows: int = HOT_ROWS
+    rows: DataFrame, keyed: DataFrame, key: str | Sequence[str], count: str = "n", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Inner join of rows to a table with one row per key and its row count.
 
-    A key with more than ``hot_rows`` rows and more than 1/1000 of the table is
-    hot. There are fewer than 1000 such keys whatever the data, so they are
-    joined by broadcast, where a key's rows stay in the tasks they are in; the
-    others are joined by key, and no task receives more than a cold key's rows.
-    ``keyed`` should be a materialized table.
+    A key with more than ``hot_rows`` rows and more than 1/1000 of the counted
+    rows is hot. There are fewer than 1000 such keys whatever the data, so they
+    are joined by broadcast, where a key's rows stay in the tasks they are in;
+    the others are joined by key, and no task receives more than a cold key's
+    rows. ``keyed`` should be a materialized table.
     """
-    other = [c for c in keyed.columns if c not in (key, count)]
+    keys = [key] if isinstance(key, str) else list(key)
+    other = [c for c in keyed.columns if c not in (*keys, count)]
     total, largest = keyed.agg(F.sum(count), F.max(count)).first()
     limit = max(hot_rows, (total or 0) // HOT_SHARE)
     if (largest or 0) <= limit:
-        return _join(rows, keyed.select(key, *other), key)
-    hot = keyed.where(F.col(count) > limit).select(key, *other)
-    cold = keyed.where(F.col(count) <= limit).select(key, *other)
-    hot_part = _join(rows, F.broadcast(hot), key)
-    cold_rows = _join(rows, F.broadcast(hot.select(key)), key, "left_anti")
-    return hot_part.unionByName(_join(cold_rows, cold, key))
-
-
-def _join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on a key where a missing key matches a missing key."""
-    renamed = keyed.withColumnRenamed(key, "_key")
-    out = rows.join(renamed, F.col(key).eqNullSafe(F.col("_key")), how)
-    return out.drop("_key")
+        return _join(rows, keyed.select(*keys, *other), keys)
+    hot = keyed.where(F.col(count) > limit).select(*keys, *other)
+    cold = keyed.where(F.col(count) <= limit).select(*keys, *other)
+    hot_part = _join(rows, F.broadcast(hot), keys)
+    cold_rows = _join(rows, F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return hot_part.unionByName(_join(cold_rows, cold, keys))
+
+
+def _join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where a missing key matches a missing key."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    renamed = keyed.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(renamed, same, how).drop(*names.values())

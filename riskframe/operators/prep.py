@@ -18,6 +18,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskframe.operators.keyed import attach_by_key
 from riskframe.operators.ordered import quantiles_with
 from riskframe.session import materialize, write_shared
 
@@ -112,16 +113,13 @@ def onehot_vocabulary(df: DataFrame, categorical: Sequence[str], min_frequency:
 def onehot_long(df: DataFrame, key: str, categorical: Sequence[str], vocabulary: DataFrame) -> DataFrame:
     """One-hot encoding as rows (key, feature, value); unseen levels have none.
 
-    The vocabulary is joined without a hint: the optimizer broadcasts it only
-    if it is small, and otherwise splits the partitions of frequent levels.
+    Levels that fill a large part of the vocabulary's rows are joined by
+    broadcast, the others as the optimizer sees fit for the vocabulary's size.
     """
     cells = [F.struct(F.lit(c).alias("column_name"), as_level(c).alias("level")) for c in categorical]
-    return (
-        df.select(key, F.explode(F.array(*cells)).alias("cell"))
-        .select(key, "cell.*")
-        .join(vocabulary.select("column_name", "level", "slot"), ["column_name", "level"])
-        .select(key, F.col("slot").alias("feature"), F.lit(1.0).alias("value"))
-    )
+    rows = df.select(key, F.explode(F.array(*cells)).alias("cell")).select(key, "cell.*")
+    coded = attach_by_key(rows, vocabulary, ["column_name", "level"], "n")
+    return coded.select(key, F.col("slot").alias("feature"), F.lit(1.0).alias("value"))
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.functions.expressions import digest_number, draw_int, key_digest
+from riskframe.functions.expressions import DRAW_RANGE, digest_number, draw_int, key_digest
 from riskframe.operators.keyed import HOT_ROWS, attach_by_key
 from riskframe.operators.ordered import global_index, values_at_ranks
 from riskframe.session import materialize
@@ -88,8 +88,8 @@ def hash_split(df: DataFrame, group: str, k: int = 5, seed: int = SEED, name: st
 
 
 def common_groups(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
-    """Groups present on both sides."""
-    return left.select(group).intersect(right.select(group))
+    """Groups present on both sides; each side is reduced to its groups first."""
+    return left.select(group).distinct().intersect(right.select(group).distinct())
 
 
 def assert_no_overlap(left: DataFrame, right: DataFrame, group: str) -> None:
@@ -119,18 +119,29 @@ def split_summary(df: DataFrame, side: str, group: str, target: str) -> DataFram
 def fixed_sample(df: DataFrame, k: int, *keys: str, seed: int = SEED) -> DataFrame:
     """k rows without replacement (all, if fewer), the same for any partitioning.
 
-    A small k is a top-k over the seeded digest. A large k is cut off at the
-    exact k-th digest number, so no task ever holds the sample.
+    The rows with the k smallest seeded digests. Rows whose digest number is
+    too large to be among them leave in the scan; of the rest, about k rows,
+    the k smallest are taken.
     """
-    digest = key_digest(seed, *keys)
-    order = [digest.asc(), *[F.asc(c) for c in keys]]
-    if k <= TOP_K_LIMIT:
-        return df.orderBy(*order).limit(k)
-    draws = df.withColumn("_draw", digest_number(digest).cast("double"))
-    found, counts, _ = values_at_ranks(draws, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
-    if counts["all", "_draw"] <= k:
+    draws = df.withColumn("_draw", digest_number(key_digest(seed, *keys)))
+    order = [key_digest(seed, *keys).asc(), *[F.asc(c) for c in keys]]
+    n = df.count()
+    if n <= k:
         return df
+    if k > TOP_K_LIMIT:
+        return _large_sample(draws, k, order)
+    cut = math.ceil((k + 10 * math.sqrt(k) + 10) / n * DRAW_RANGE)
+    while cut < DRAW_RANGE and draws.where(F.col("_draw") < cut).count() < k:
+        cut *= 2
+    return draws.where(F.col("_draw") < cut).orderBy(*order).limit(k).drop("_draw")
+
+
+def _large_sample(draws: DataFrame, k: int, order: list) -> DataFrame:
+    """Cut at the exact k-th digest number, so that no task holds the sample;
+    only rows that share that number are sorted."""
+    numbers = draws.withColumn("_draw", F.col("_draw").cast("double"))
+    found, _, _ = values_at_ranks(numbers, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
     edge = found["all", "_draw"][k - 1]
-    below = draws.where(F.col("_draw") < edge)
-    at_edge = draws.where(F.col("_draw") == edge).orderBy(*order).limit(k - below.count())
+    below = numbers.where(F.col("_draw") < edge)
+    at_edge = numbers.where(F.col("_draw") == edge).orderBy(*order).limit(k - below.count())
     return below.unionByName(at_edge).drop("_draw")

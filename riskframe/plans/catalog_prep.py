@@ -104,9 +104,8 @@ ORACLES["onehot_vocab"] = sql(vocabulary_sql("docs"), "docs")
 
 def onehot_long(spark, d) -> DataFrame:
     docs = view(spark, d, "docs")
-    return prep.onehot_long(
-        docs, "doc_id", DOC_CATEGORICAL, prep.onehot_vocabulary(docs.where(TRAIN_DOCS), DOC_CATEGORICAL)
-    )
+    vocabulary = materialize(prep.onehot_vocabulary(docs.where(TRAIN_DOCS), DOC_CATEGORICAL), "vocabulary")
+    return prep.onehot_long(docs, "doc_id", DOC_CATEGORICAL, vocabulary)
 
 
 ONEHOT_SQL = (
