@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskframe.functions.expressions import clipped, draw_int, draw_unit, next_level
-from riskframe.operators.ordered import BUCKET, long_values, range_cuts, running_totals
+from riskframe.operators.ordered import BUCKET, long_values, number_or_missing, range_cuts, running_totals
 
 DRIFT_SHARE = 0.2  # share of drifted columns above which to retrain
 DISTANCE_LIMIT = 0.1  # a distance at or above this is drift
@@ -116,10 +116,21 @@ def category_levels(reference: DataFrame, current: DataFrame, columns: Sequence[
     )
 
 
-def _with_sizes(levels: DataFrame) -> DataFrame:
-    """Add each column's total on both sides (one row per compared column)."""
-    sizes = levels.groupBy("column_name").agg(F.sum("n_ref").alias("rows_ref"), F.sum("n_cur").alias("rows_cur"))
-    return levels.join(F.broadcast(sizes), "column_name")
+def column_sizes(reference: DataFrame, current: DataFrame, numeric=(), categorical=()) -> DataFrame:
+    """column_name, rows_ref, rows_cur, std_ref: one aggregate, a row per column."""
+    rows = both_sides(reference, current, [*numeric, *categorical])
+    values = {c: number_or_missing(c) for c in numeric} | {c: F.col(c) for c in categorical}
+    on_ref, on_cur = F.col("_side") == 0, F.col("_side") == 1
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(F.when(on_ref, v)).alias("rows_ref"),
+            F.count(F.when(on_cur, v)).alias("rows_cur"),
+            (F.stddev_pop(F.when(on_ref, v)) if c in set(numeric) else F.lit(None).cast("double")).alias("std_ref"),
+        )
+        for c, v in values.items()
+    ]
+    return rows.agg(F.explode(F.array(*cells)).alias("size")).select("size.*")
 
 
 def _share_terms() -> list[Column]:
@@ -151,7 +162,8 @@ def category_drift(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], base: float = math.e
 ) -> DataFrame:
     """Per column: levels, rows, js_distance, chi2, homogeneity."""
-    levels = _with_sizes(category_levels(reference, current, columns))
+    sizes = column_sizes(reference, current, categorical=columns).drop("std_ref")
+    levels = category_levels(reference, current, columns).join(F.broadcast(sizes), "column_name")
     out = levels.where((F.col("rows_ref") > 0) & (F.col("rows_cur") > 0)).groupBy("column_name").agg(*_share_terms())
     return out.withColumn("js_distance", _js_distance(base)).drop("_js")
 
@@ -163,21 +175,20 @@ def numeric_drift(
     and the shares-based statistics of its distinct values."""
     levels = numeric_levels(reference, current, columns)
     steps = running_totals(levels, "value", ["n_ref", "n_cur"], ["column_name"], next_value="_next")
+    sizes = column_sizes(reference, current, columns)
     gap = F.abs(F.col("cum_n_ref") / F.col("rows_ref") - F.col("cum_n_cur") / F.col("rows_cur"))
     moved = (
-        _with_sizes(steps)
+        steps.join(F.broadcast(sizes), "column_name")
         .where((F.col("rows_ref") > 0) & (F.col("rows_cur") > 0))
         .groupBy("column_name")
         .agg(
             F.sum(gap * (F.coalesce("_next", "value") - F.col("value"))).alias("_area"),
             F.max(gap).alias("ks"),
+            F.max("std_ref").alias("std_ref"),
             *_share_terms(),
         )
     )
-    spread = reference.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(
-        [], list(columns), "column_name", "std_ref"
-    )
-    return moved.join(F.broadcast(spread), "column_name").select(
+    return moved.select(
         "column_name",
         "n_levels",
         "rows_ref",

@@ -20,6 +20,11 @@ BUCKET = "_range"
 INF = float("inf")
 
 
+def number_or_missing(c: str) -> Column:
+    """A numeric column as double; NaN counts as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+
 def default_ranges(df: DataFrame) -> int:
     return max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
@@ -50,7 +55,7 @@ def long_values(
     """Non-missing values as rows: kept columns, column_name, value, range."""
     doubles = [f"_v{i}" for i in range(len(columns))]
     places = {v: f"_b{i}" for i, v in enumerate(doubles)}
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, doubles)])
+    wide = df.select(*keep, *[number_or_missing(c).alias(v) for c, v in zip(columns, doubles)])
     wide = with_ranges(wide, {v: cuts[c] for c, v in zip(columns, doubles)}, places)
     cells = [
         F.struct(
@@ -164,11 +169,6 @@ class _Bracket:
         return v < F.lit(self.low) if self.low > -INF else F.lit(False)
 
 
-def _number(c: str) -> Column:
-    """A numeric column as double; NaN counts as missing."""
-    return F.nanvl(F.col(c).cast("double"), F.lit(None))
-
-
 def _grid(v: Column) -> Column:
     return F.percentile_approx(v, [i / GRID for i in range(1, GRID)], 10 * GRID)
 
@@ -177,7 +177,7 @@ def _sketch(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Brack
     """Per bracket: rows below, rows inside, grid of the inside; one pass, one row."""
     terms = []
     for b in brackets:
-        v = F.when(sets[b.set_name], _number(b.column))
+        v = F.when(sets[b.set_name], number_or_missing(b.column))
         inner = F.when(b.inside(v), v)
         terms += [F.count_if(b.below(v)), F.count(inner), _grid(inner)]
     row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(terms)]).first()
@@ -205,8 +205,7 @@ def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket
     columns = list(dict.fromkeys(b.column for b in brackets))
     flags = {s: f"_s{i}" for i, s in enumerate(sets)}
     flagged = df.select(
-        *[inset.alias(flags[s]) for s, inset in sets.items()],
-        *[_number(c).alias(c) for c in columns],
+        *[inset.alias(flags[s]) for s, inset in sets.items()], *[F.col(c) for c in columns]
     )
     cuts, kept = {}, F.lit(False)
     for c in columns:
@@ -258,8 +257,8 @@ def values_at_ranks(
     """
     sets = dict(sets or {"all": F.lit(True)})
     keys = [(name, c) for name in sets for c in columns]
-    terms = [_grid(_number(c)) for c in columns]
-    terms += [F.count_if(sets[name] & _number(c).isNotNull()) for name, c in keys]
+    terms = [_grid(number_or_missing(c)) for c in columns]
+    terms += [F.count_if(sets[name] & number_or_missing(c).isNotNull()) for name, c in keys]
     row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate([*terms, *also])]).first()  # one row
     grids = {c: row[i] or [] for i, c in enumerate(columns)}
     counts = dict(zip(keys, row[len(columns) : len(terms)]))

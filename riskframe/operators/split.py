@@ -28,8 +28,9 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed: int =
     groups = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("n_pos")
     )
-    groups = materialize(groups.withColumn("n_pos", F.coalesce("n_pos", F.lit(0))), "groups")
-    digest = key_digest(seed, group)
+    groups = groups.select(group, "n", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), key_digest(seed, group).alias("_digest"))
+    groups = materialize(groups, "groups")
+    digest = F.col("_digest")
     # Falls along (n_pos desc, n desc, digest): rounding may merge neighbours
     # in that order but never swaps them.
     spread = -(F.col("n_pos").cast("double") * float(1 << 40) + F.col("n").cast("double")) + (
@@ -40,7 +41,7 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed: int =
     place = F.pmod("_index", F.lit(k))
     backwards = F.pmod(F.floor(F.col("_index") / k), F.lit(2)) == 1
     fold = F.when(backwards, F.lit(k - 1) - place).otherwise(place).cast("int")
-    return indexed.select(*groups.columns, fold.alias("fold"))
+    return indexed.select(group, "n", "n_pos", fold.alias("fold"))
 
 
 def with_folds(
