@@ -30,7 +30,7 @@ def subgroup_metrics(
     spread over score ranges, so no task holds one subgroup.
     """
     long = subgroup_rows(df, attributes, [target, prob])
-    out = ranking_metrics(long, prob, target, ["attribute", "subgroup"])
+    out = ranking_metrics(long, prob, target, ["attribute", "subgroup"], stored=True)
 
     def shown(c: str):
         return F.col(c) if digits is None else F.round(c, digits)

@@ -174,7 +174,7 @@ def numeric_drift(
     """Per column: levels, rows, wasserstein (in reference deviations), ks,
     and the shares-based statistics of its distinct values."""
     levels = numeric_levels(reference, current, columns)
-    steps = running_totals(levels, "value", ["n_ref", "n_cur"], ["column_name"], next_value="_next")
+    steps = running_totals(levels, "value", ["n_ref", "n_cur"], ["column_name"], next_value="_next", stored=True)
     sizes = column_sizes(reference, current, columns)
     gap = F.abs(F.col("cum_n_ref") / F.col("rows_ref") - F.col("cum_n_cur") / F.col("rows_cur"))
     moved = (

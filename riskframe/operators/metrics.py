@@ -27,14 +27,16 @@ def score_levels(df: DataFrame, score: str, label: str, groups: Sequence[str] =
     )
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, score: str, label: str, groups: Sequence[str] = (), stored: bool = False
+) -> DataFrame:
     """n, actual_rate, mean_score, average_precision, roc_auc, brier per group.
 
     A group with one class only has no ROC-AUC; one without positives has no
-    average precision.
+    average precision. ``stored`` is for rows unfolded from others.
     """
     levels = score_levels(df, score, label, groups)
-    steps = running_totals(levels, "_score", ["pos", "neg"], groups, descending=True)
+    steps = running_totals(levels, "_score", ["pos", "neg"], groups, descending=True, stored=stored)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     cum_pos, cum_neg = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     p = F.col("_score")

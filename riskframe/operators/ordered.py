@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskframe.session import materialize
+
 BUCKET = "_range"
 INF = float("inf")
 
@@ -79,12 +81,17 @@ def running_totals(
     groups: Sequence[str] = (),
     descending: bool = False,
     next_value: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``cum_<s>``: the total of ``s`` up to and including each value.
 
     ``levels`` holds one row per (groups, value) and its range number. With
     ``next_value`` the following value in the order is added under that name.
+    The levels are read twice; Spark reuses their shuffle unless rows were
+    unfolded before it, in which case ``stored`` writes them once.
     """
+    if stored:
+        levels = materialize(levels, "levels")
     direction = F.desc if descending else F.asc
     at = [*groups, BUCKET]
     inside = Window.partitionBy(*at).orderBy(direction(value))
@@ -220,7 +227,7 @@ def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket
         .groupBy("column_name", BUCKET, level)
         .agg(*[F.count_if(f).alias(f) for f in flags.values()])
     )
-    totals = running_totals(levels, "level", list(flags.values()), ["column_name"])
+    totals = running_totals(levels, "level", list(flags.values()), ["column_name"], stored=True)
     per_set = [
         F.struct(F.lit(s).alias("set_name"), F.col(f).alias("n"), F.col(f"cum_{f}").alias("upto"))
         for s, f in flags.items()
