@@ -9,8 +9,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.operators.metrics import brier
-
 METHODS = ("isotonic", "sigmoid")
 
 
@@ -81,14 +79,3 @@ def select_method(briers: DataFrame) -> DataFrame:
     """The method with the lowest Brier score (ties by name)."""
     return briers.orderBy("brier", "method").limit(1)
 
-
-__all__ = [
-    "METHODS",
-    "Calibration",
-    "brier",
-    "brier_by_method",
-    "fit_calibration",
-    "fit_isotonic",
-    "fit_sigmoid",
-    "select_method",
-]
