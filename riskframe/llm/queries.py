@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate
+from riskframe.llm import decontaminate, shard, topk
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -45,3 +45,26 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
     coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op8_topk"] = """
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(embedding) > 0),
+s AS (
+    SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.x, e.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM e AS q JOIN e ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
