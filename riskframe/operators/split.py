@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.expressions import DRAW_RANGE, digest_number, draw_int, key_digest
-from riskframe.operators.keyed import HOT_ROWS, attach_by_key
+from riskframe.operators.keyed import SLICE_ROWS, attach_by_key
 from riskframe.operators.ordered import global_index, values_at_ranks
 from riskframe.session import materialize
 
@@ -51,11 +51,11 @@ def with_folds(
     k: int = 5,
     seed: int = SEED,
     name: str = "fold",
-    hot_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """The table with each row's fold."""
     folds = materialize(group_folds(df, group, target, k, seed).drop("n_pos"), "folds")
-    return attach_by_key(df, folds.withColumnRenamed("fold", name), group, "n", hot_rows)
+    return attach_by_key(df, folds.withColumnRenamed("fold", name), group, "n", slice_rows)
 
 
 def folds_for_share(test_size: float) -> int:

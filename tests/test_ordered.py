@@ -79,11 +79,11 @@ def test_global_index(spark):
     assert sorted(r.i for r in got) == list(range(len(rows)))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 5, 10**6])
-def test_attach_by_key_with_hot_and_missing_keys(spark, hot_rows):
+@pytest.mark.parametrize("slice_rows", [1, 5, 10**6])
+def test_attach_by_key_with_hot_and_missing_keys(spark, slice_rows):
     keys = [1] * 300 + [2] * 4 + [None] * 50 + list(range(10, 60))
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
-    out = attach_by_key(rows, keyed, "k", "n", hot_rows).collect()
+    out = attach_by_key(rows, keyed, "k", "n", slice_rows).collect()
     assert sorted(r.i for r in out) == list(range(len(keys)))
     assert all(r.first == keys.index(r.k) for r in out)

@@ -57,7 +57,7 @@ def test_folds_with_one_group_holding_a_third(spark):
         "patient_nbr", F.when(F.col("row_id") % 3 == 0, F.lit(-1)).otherwise(F.col("patient_nbr"))
     )
     plain = split.with_folds(df, "patient_nbr", "y", 5)
-    split_hot = split.with_folds(df, "patient_nbr", "y", 5, hot_rows=10)
+    split_hot = split.with_folds(df, "patient_nbr", "y", 5, slice_rows=10)
     assert plain.exceptAll(split_hot).count() == 0 and plain.count() == split_hot.count() == df.count()
     assert plain.groupBy("patient_nbr").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
 
