@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, shard, topk
+from riskframe.llm import decontaminate, shard, simhash, topk, warc
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -68,3 +68,34 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate_pages(read_table(spark, sf_dir, "pages"))[1]
+
+
+# Base32 of the 160-bit digest: 32 groups of five bits, read off its hexadecimal digits.
+ORACLES["op6_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (
+    SELECT page_id, html, array_to_string(list_transform(range(1, 41),
+        lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+            [instr('0123456789abcdef', h[i])]), '') AS b FROM p),
+digests AS (
+    SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(b[5*i+1] AS INT) + 8 * CAST(b[5*i+2] AS INT)
+            + 4 * CAST(b[5*i+3] AS INT) + 2 * CAST(b[5*i+4] AS INT) + CAST(b[5*i+5] AS INT)]), '') AS payload_digest
+    FROM bits),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM digests)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM firsts
+"""
