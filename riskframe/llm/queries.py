@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, shard, simhash, topk, warc
+from riskframe.llm import decontaminate, pack, shard, simhash, topk, warc
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -99,3 +99,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
     CASE WHEN page_id <> original THEN original END AS refers_to
 FROM firsts
 """
+
+
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(read_table(spark, sf_dir, "documents"))
