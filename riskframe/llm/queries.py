@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, pack, shard, simhash, topk, warc
+from riskframe.llm import decontaminate, langid, pack, shard, simhash, topk, warc
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,8 @@ FROM firsts
 @query
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
