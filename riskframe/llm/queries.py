@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, langid, pack, shard, simhash, topk, warc
+from riskframe.llm import decontaminate, langid, pack, shard, simhash, topk, toxicity, warc
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -109,3 +109,8 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
