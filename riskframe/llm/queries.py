@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, langid, pack, pitman_yor, shard, simhash, topk, toxicity, warc
+from riskframe.llm import decontaminate, langid, pack, pitman_yor, quality, shard, simhash, topk, toxicity, warc
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -119,3 +119,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
