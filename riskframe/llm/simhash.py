@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from riskframe.llm.common import ascii_words, map_batches, quoted, whole_bytes
+from riskframe.llm.common import ascii_words, map_batches, quoted, whole_bytes, with_number
 from riskframe.operators.keyed import attach_by_key
 from riskframe.session import materialize
 
@@ -200,11 +200,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_codes(rows: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id") -> DataFrame:
-    """(code, n, component_id) per distinct code of a written table (doc_id, code)."""
-    nodes = materialize(
-        rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(doc_id).alias("first")), "codes"
-    )
+def linked_codes(rows: DataFrame, radius: int = RADIUS, first: str = "doc_id") -> DataFrame:
+    """(code, n, component_id) per distinct code of a written table; a component is named by its smallest ``first``."""
+    nodes = materialize(rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")), "codes")
     labels = components(near_links(nodes.select("code"), radius))
     labelled = nodes.join(labels, "code", "left").withColumn("label", F.coalesce("label", "code"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -223,3 +221,23 @@ def near_duplicates(
     rows = materialize(with_fingerprints(named, ["doc_id"], "text", shingle), "fingerprints")
     linked = linked_codes(rows, radius)
     return attach_by_key(rows, linked, "code").select("doc_id", as_hex(F.col("code")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """Of every component the row of the smallest id (of equal ids one row), columns unchanged.
+
+    A row without id stays only if its component has no row with one.
+    """
+    columns = docs.columns
+    kept = [f"c{i}" for i in range(len(columns))]
+    tagged = with_number(docs.toDF(*kept), "number")
+    place = columns.index(doc_id)
+    tagged = with_fingerprints(tagged, [*kept, "number"], kept[columns.index(text)], shingle)
+    tagged = materialize(tagged, "tagged")
+    # Missing ids come last.
+    key = F.struct(F.col(kept[place]).isNull().alias("none"), F.col(kept[place]).alias("id"), F.col("number"))
+    first = linked_codes(tagged.select("code", key.alias("key")), radius, "key")
+    stay = first.select(F.col("component_id.number").alias("number")).distinct()
+    return tagged.join(stay, "number", "left_semi").select(*kept).toDF(*columns)
