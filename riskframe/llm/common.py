@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 LOWER_CASE = bytes.maketrans(UPPER, LOWER)
 
-# A step gets the input columns of one Arrow batch and returns (rows, columns):
+#: Rows and bytes of an Arrow batch that a step gets at once (or one row).
+SLICE_ROWS, SLICE_BYTES = 10_000, 8 << 20
+
+# A step gets the input columns of a slice of an Arrow batch and returns (rows, columns):
 # the input row of each output row (None: one output row per input row, in order).
 Step = Callable[..., tuple["pa.Array | None", Sequence[pa.Array]]]
 
@@ -54,7 +57,8 @@ def map_batches(
     """The kept columns and the results of a step over Arrow batches.
 
     ``make`` builds the step once per task. Memory holds one batch (at most
-    ``spark.sql.execution.arrow.maxBytesPerBatch``, or one row) and its results.
+    ``spark.sql.execution.arrow.maxBytesPerBatch``, or one row) and the results
+    of one slice of it.
     """
     n = len(keep)
     rows = df.select(
@@ -71,11 +75,14 @@ def map_batches(
             if not batch.num_rows:
                 continue
             step = step or make()
-            index, columns = step(*batch.columns[n:])
-            kept = batch.columns[:n]
-            if index is not None:
-                kept = [c.take(index) for c in kept]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], names=names)
+            height = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, height):
+                part = batch.slice(first, height)
+                index, columns = step(*part.columns[n:])
+                kept = part.columns[:n]
+                if index is not None:
+                    kept = [c.take(index) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=names)
 
     return rows.mapInArrow(run, T.StructType(fields)).toDF(*keep, *added.names)
 
@@ -114,3 +121,9 @@ def int_list(values: Sequence[Sequence[int]], kind: pa.DataType = pa.int32()) ->
 
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select(*[quoted(c).alias(n) for c, n in names.items()])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
