@@ -53,6 +53,7 @@ def map_batches(
     inputs: Sequence[Column],
     result: str,
     make: Callable[[], Step],
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The kept columns and the results of a step over Arrow batches.
 
@@ -75,7 +76,7 @@ def map_batches(
             if not batch.num_rows:
                 continue
             step = step or make()
-            height = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+            height = max(1, min(SLICE_ROWS, batch.num_rows * slice_bytes // max(1, batch.nbytes)))
             for first in range(0, batch.num_rows, height):
                 part = batch.slice(first, height)
                 index, columns = step(*part.columns[n:])
