@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
+from riskframe.session import materialize
+
 METHODS = ("isotonic", "sigmoid")
 
 
@@ -45,19 +47,23 @@ def fit_sigmoid(df: DataFrame, score: str, label: str) -> Calibration:
 
     A row with target t stands as a positive of weight t and a negative of
     weight 1 - t, which makes it an unpenalised weighted logistic regression.
+    Rows of one score are pooled, so it iterates over the distinct scores.
     """
-    rows = df.where(F.col(score).isNotNull()).select(
-        F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("y")
+    y = F.col(label).cast("double")
+    pooled = materialize(
+        df.where(F.col(score).isNotNull())
+        .groupBy(F.col(score).cast("double").alias("score"))
+        .agg(F.sum(F.when(y > 0, 1.0).otherwise(0.0)).alias("pos"), F.count(y).cast("double").alias("n")),
+        "pooled",
     )
-    n_pos, n = rows.agg(F.sum("y"), F.count(F.lit(1))).first()
-    n_pos = n_pos or 0.0
+    n_pos, n = (v or 0.0 for v in pooled.agg(F.sum("pos"), F.sum("n")).first())
     high, low = (n_pos + 1) / (n_pos + 2), 1 / (n - n_pos + 2)
-    target = F.when(F.col("y") > 0, F.lit(high)).otherwise(F.lit(low))
+    target = F.col("pos") * high + (F.col("n") - F.col("pos")) * low
     halves = F.array(
         F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") - target).alias("weight")),
     )
-    doubled = rows.select("score", F.explode(halves).alias("h")).select("score", "h.*")
+    doubled = pooled.select("score", F.explode(halves).alias("h")).select("score", "h.*")
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", regParam=0.0, maxIter=200, tol=1e-10
     ).fit(VectorAssembler(inputCols=["score"], outputCol="features").transform(doubled))

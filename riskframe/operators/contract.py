@@ -105,8 +105,7 @@ def row_findings(df: DataFrame, contract: Contract, only: Sequence[str] | None =
     ]
     key = F.col(contract.key).cast("string") if contract.key in df.columns else F.lit(None).cast("string")
     return (
-        df.select(key.alias("row_key"), F.explode(F.array(*cells)).alias("f"))
-        .where(F.col("f").isNotNull())
+        df.select(key.alias("row_key"), F.explode(F.array_compact(F.array(*cells))).alias("f"))
         .select("row_key", "f.*")
     )
 

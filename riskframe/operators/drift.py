@@ -20,8 +20,6 @@ from riskframe.operators.ordered import BUCKET, long_values, number_or_missing,
 DRIFT_SHARE = 0.2  # share of drifted columns above which to retrain
 DISTANCE_LIMIT = 0.1  # a distance at or above this is drift
 P_VALUE_LIMIT = 0.05  # a p-value below this is drift
-DISTANCE_ROWS = 1000  # above this many reference rows distances are used
-FEW_LEVELS = 5  # numeric columns with no more levels are compared as categories
 MIN_STD = 0.001
 
 
@@ -254,14 +252,14 @@ def drift_report(
     current: DataFrame,
     numeric: Sequence[str],
     categorical: Sequence[str],
-    method: str = "auto",
+    method: str = "distance",
     base: float = math.e,
 ) -> DataFrame:
     """column_name, test, statistic, p_value, drifted for every column.
 
     ``distance`` compares by Wasserstein (numeric) and Jensen-Shannon distance;
-    ``test`` by Kolmogorov-Smirnov, chi-square or proportions; ``auto`` uses
-    distances above 1000 reference rows.
+    ``test`` by Kolmogorov-Smirnov, and chi-square or, with two levels,
+    proportions. The caller names the method and each column's kind.
     """
     parts = []
     if numeric:
@@ -276,12 +274,8 @@ def drift_report(
             )
         )
     table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    measured = F.col("_numeric") & (F.col("n_levels") > FEW_LEVELS)
-    by_distance = {
-        "distance": F.lit(True),
-        "test": F.lit(False),
-        "auto": F.col("rows_ref") > DISTANCE_ROWS,
-    }[method]
+    measured = F.col("_numeric")
+    by_distance = F.lit({"distance": True, "test": False}[method])
     name = (
         F.when(by_distance & measured, "wasserstein")
         .when(by_distance, "jensen_shannon")

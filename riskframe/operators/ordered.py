@@ -27,8 +27,14 @@ def number_or_missing(c: str) -> Column:
     return F.nanvl(F.col(c).cast("double"), F.lit(None))
 
 
+#: Rows that one range should hold.
+RANGE_ROWS = 500_000
+
+
 def default_ranges(df: DataFrame) -> int:
-    return max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """Ranges for the table's rows, at least one per shuffle partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(8, partitions, -(-df.count() // RANGE_ROWS))
 
 
 def range_cuts(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> dict[str, list[float]]:
@@ -202,10 +208,13 @@ def _narrowed(b: _Bracket, below: int, inside: int, grid: Sequence[float], margi
     return [_Bracket(b.set_name, b.column, ranks, *at) for at, ranks in out.items()]
 
 
-def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket]) -> list:
+def _pick(
+    df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket], grids: Mapping[str, Sequence[float]]
+) -> list:
     """Values at the brackets' ranks; a rank outside its bracket gives no row.
 
-    The brackets' ends are the cut points. Only values in a bracket keep their
+    The brackets' ends are the cut points, and the sketch's grid where a bracket
+    is wide, so that a range holds a small share of the values at any margin. Only values in a bracket keep their
     own level, all others of a range are one, so the shuffle carries little
     more than the brackets' insides.
     """
@@ -217,7 +226,8 @@ def _pick(df: DataFrame, sets: Mapping[str, Column], brackets: Sequence[_Bracket
     cuts, kept = {}, F.lit(False)
     for c in columns:
         spans = [(b.low, math.nextafter(b.high, INF)) for b in brackets if b.column == c]
-        cuts[c] = sorted({e for span in spans for e in span if math.isfinite(e)}) or [0.0]
+        inner = {g for g in grids.get(c, ()) if math.isfinite(g)}
+        cuts[c] = sorted({e for span in spans for e in span if math.isfinite(e)} | inner) or [0.0]
         edges = [-INF, *cuts[c], INF]
         whole = [i for i, at in enumerate(zip(edges, edges[1:])) if any(lo <= at[0] and at[1] <= hi for lo, hi in spans)]
         kept = kept | ((F.col("column_name") == c) & F.col(BUCKET).isin(whole))
@@ -278,12 +288,13 @@ def values_at_ranks(
         if n:
             open_.append(_Bracket(name, c, sorted(set(ranks(name, c, n)))))
             sketches.append((0, n, grids[c]))
-    spread = 0 if len(sets) == 1 else math.ceil(2 * GRID / math.sqrt(max(1, min(n for n in counts.values()))))
     for margin in MARGINS:
-        brackets = [x for b, p in zip(open_, sketches) for x in _narrowed(b, *p, min(margin + spread, GRID))]
-        if margin == MARGINS[0]:
-            brackets = _refined(df, sets, brackets, max(counts.values(), default=0))
-        for row in _pick(df, sets, brackets) if brackets else []:
+        # A small set strays further from the sketch of all rows; each bracket by its own count.
+        widths = [min(GRID, margin + (0 if len(sets) == 1 else math.ceil(2 * GRID / math.sqrt(p[1])))) for p in sketches]
+        brackets = [x for b, p, w in zip(open_, sketches, widths) for x in _narrowed(b, *p, w)]
+        rows = max((p[1] * (2 * w + 1) // GRID for p, w in zip(sketches, widths)), default=0)
+        brackets = _refined(df, sets, brackets, rows)
+        for row in _pick(df, sets, brackets, grids) if brackets else []:
             found[row["set_name"], row["column_name"]][row["rank"]] = row["level"]
         missed = []
         for b, p in zip(open_, sketches):
@@ -297,8 +308,11 @@ def values_at_ranks(
 
 
 def _refined(df: DataFrame, sets: Mapping[str, Column], brackets: list[_Bracket], rows: int) -> list[_Bracket]:
-    """Narrow brackets further while they may hold too many rows for one task."""
-    rows = rows * (2 * MARGINS[0] + 1) // GRID
+    """Narrow brackets further while they may hold too many rows for one task.
+
+    ``rows`` is the largest bracket's share of its sketch; from then on the rows
+    inside each bracket are counted.
+    """
     while brackets and rows > BRACKET_ROWS:
         per = _sketch(df, sets, brackets)
         inside = [all(p[0] <= r < p[0] + p[1] for r in b.ranks) for b, p in zip(brackets, per)]

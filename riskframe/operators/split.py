@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.functions.expressions import DRAW_RANGE, digest_number, draw_int, key_digest
+from riskframe.functions.expressions import digest_number, draw_int, key_digest
 from riskframe.operators.keyed import SLICE_ROWS, attach_by_key
 from riskframe.operators.ordered import global_index, values_at_ranks
 from riskframe.session import materialize
 
 SEED = 42
-TOP_K_LIMIT = 100_000
 
 
 class GroupOverlap(AssertionError):
     """Raised when groups appear on both sides of a split."""
 
 
-def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed: int = SEED) -> DataFrame:
-    """One row per group: group, n, n_pos, fold.
+def group_sizes(df: DataFrame, group: str, target: str, seed: int = SEED) -> DataFrame:
+    """One written row per group: group, n, n_pos, _digest."""
+    groups = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("n_pos")
+    )
+    digest = key_digest(seed, group).alias("_digest")
+    return materialize(groups.select(group, "n", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), digest), "groups")
+
+
+def deal_groups(groups: DataFrame, group: str, k: int) -> DataFrame:
+    """The groups with their fold.
 
     Groups are ordered by positives, size and a seeded digest, and dealt over
     the folds in snake order, so folds are close in size and in positive rate.
     """
-    groups = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("bigint")).alias("n_pos")
-    )
-    groups = groups.select(group, "n", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), key_digest(seed, group).alias("_digest"))
-    groups = materialize(groups, "groups")
     digest = F.col("_digest")
     # Falls along (n_pos desc, n desc, digest): rounding may merge neighbours
     # in that order but never swaps them.
@@ -41,7 +42,12 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed: int =
     place = F.pmod("_index", F.lit(k))
     backwards = F.pmod(F.floor(F.col("_index") / k), F.lit(2)) == 1
     fold = F.when(backwards, F.lit(k - 1) - place).otherwise(place).cast("int")
-    return indexed.select(group, "n", "n_pos", fold.alias("fold"))
+    return indexed.select(*groups.columns, fold.alias("fold"))
+
+
+def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """One row per group: group, n, n_pos, fold."""
+    return deal_groups(group_sizes(df, group, target, seed), group, k).select(group, "n", "n_pos", "fold")
 
 
 def with_folds(
@@ -77,10 +83,18 @@ def holdout_split(
 def three_way_split(
     df: DataFrame, target: str, group: str, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fit, calib, conform): 60 / 20 / 20 of the rows, group-disjoint."""
-    rest, conform = holdout_split(df, target, group, 0.2, seed)
-    fit, calib = holdout_split(rest, target, group, 0.25, seed)
-    return fit, calib, conform
+    """(fit, calib, conform): 60 / 20 / 20 of the rows, group-disjoint.
+
+    Both drafts are dealt on the groups alone; the rows are joined once.
+    """
+    first = materialize(deal_groups(group_sizes(df, group, target, seed), group, folds_for_share(0.2)), "folds")
+    rest = materialize(first.where("fold <> 0").drop("fold"), "groups")
+    second = deal_groups(rest, group, folds_for_share(0.25))
+    sides = first.where("fold = 0").select(group, "n", F.lit("conform").alias("_side")).unionByName(
+        second.select(group, "n", F.when(F.col("fold") == 0, "calib").otherwise("fit").alias("_side"))
+    )
+    tagged = attach_by_key(df, materialize(sides, "sides"), group)
+    return tuple(tagged.where(F.col("_side") == side).drop("_side") for side in ("fit", "calib", "conform"))
 
 
 def hash_split(df: DataFrame, group: str, k: int = 5, seed: int = SEED, name: str = "fold") -> DataFrame:
@@ -120,29 +134,18 @@ def split_summary(df: DataFrame, side: str, group: str, target: str) -> DataFram
 def fixed_sample(df: DataFrame, k: int, *keys: str, seed: int = SEED) -> DataFrame:
     """k rows without replacement (all, if fewer), the same for any partitioning.
 
-    The rows with the k smallest seeded digests. Rows whose digest number is
-    too large to be among them leave in the scan; of the rest, about k rows,
-    the k smallest are taken.
+    The rows with the k smallest seeded digests: the k-th digest's number is
+    found exactly, smaller ones stay, and only rows that share it are sorted.
     """
-    draws = df.withColumn("_draw", digest_number(key_digest(seed, *keys)))
+    if k <= 0:
+        return df.limit(0)
     order = [key_digest(seed, *keys).asc(), *[F.asc(c) for c in keys]]
-    n = df.count()
-    if n <= k:
+    numbers = df.withColumn("_draw", digest_number(key_digest(seed, *keys)).cast("double"))
+    found, counts, _ = values_at_ranks(numbers, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
+    n = counts["all", "_draw"]
+    if not n:
         return df
-    if k > TOP_K_LIMIT:
-        return _large_sample(draws, k, order)
-    cut = math.ceil((k + 10 * math.sqrt(k) + 10) / n * DRAW_RANGE)
-    while cut < DRAW_RANGE and draws.where(F.col("_draw") < cut).count() < k:
-        cut *= 2
-    return draws.where(F.col("_draw") < cut).orderBy(*order).limit(k).drop("_draw")
-
-
-def _large_sample(draws: DataFrame, k: int, order: list) -> DataFrame:
-    """Cut at the exact k-th digest number, so that no task holds the sample;
-    only rows that share that number are sorted."""
-    numbers = draws.withColumn("_draw", F.col("_draw").cast("double"))
-    found, _, _ = values_at_ranks(numbers, ["_draw"], lambda _s, _c, n: [min(k, n) - 1])
-    edge = found["all", "_draw"][k - 1]
+    edge = found["all", "_draw"][min(k, n) - 1]
     below = numbers.where(F.col("_draw") < edge)
-    at_edge = numbers.where(F.col("_draw") == edge).orderBy(*order).limit(k - below.count())
+    at_edge = numbers.where(F.col("_draw") == edge).orderBy(*order).limit(max(0, min(k, n) - below.count()))
     return below.unionByName(at_edge).drop("_draw")

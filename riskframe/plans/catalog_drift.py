@@ -134,16 +134,37 @@ ORACLES["drift_report"] = sql(
     "ref",
     "cur",
 )
+# With the test method: the asymptotic tails, spelt out for the levels that the columns have.
+QUERIES["drift_test"] = lambda spark, d: rounded(
+    drift.drift_report(*sides(spark, d), NUMBERS, CATEGORIES, method="test"), 5
+)
+ORACLES["drift_test"] = sql(
+    f"""WITH {NUMERIC_SQL}, {CATEGORY_SQL}, report AS (
+    SELECT num.column_name, 'ks' AS test, ks AS statistic, x,
+        CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101),
+            lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x))))) END AS p_value
+    FROM (SELECT column_name, max(ks) AS ks, max(ks) * sqrt(max(nr) * max(nc) / (max(nr) + max(nc))) AS x
+          FROM num JOIN lev USING (column_name) GROUP BY column_name) AS num UNION ALL
+    SELECT column_name, 'chi_square' AS test, chi2 AS statistic, NULL AS x, exp(-chi2 / 2) * (1 + chi2 / 2) AS p_value
+    FROM cat JOIN (SELECT column_name, count(*) AS n FROM cat_lev GROUP BY ALL) USING (column_name) WHERE n = 5)
+    SELECT column_name, test, round(statistic, 5) AS statistic, round(p_value, 5) AS p_value, p_value < 0.05 AS drifted
+    FROM report""",
+    "ref",
+    "cur",
+)
 QUERIES["drift_share"] = lambda spark, d: rounded(drift.drift_share(report(spark, d)))
 SHARE_SQL = """SELECT avg(CASE WHEN statistic >= 0.1 THEN 1.0 ELSE 0.0 END) AS share,
     CAST(sum(CASE WHEN statistic >= 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS n_drifted FROM report"""
 ORACLES["drift_share"] = sql(f"WITH {REPORT_SQL} SELECT round(share, 6) AS share, n_drifted FROM ({SHARE_SQL})", "ref", "cur")
 QUERIES["drift_decision"] = lambda spark, d: rounded(
-    drift.retraining_decision(drift.drift_share(report(spark, d))).drop("message")
+    drift.retraining_decision(drift.drift_share(report(spark, d)))
 )
 ORACLES["drift_decision"] = sql(
     f"""WITH {REPORT_SQL} SELECT round(share, 6) AS share, n_drifted, CAST(0.2 AS DOUBLE) AS threshold,
-    share > 0.2 AS retrain FROM ({SHARE_SQL})""",
+    share > 0.2 AS retrain,
+    CASE WHEN share > 0.2 THEN printf('%.0f%% of columns drifted, above 20%%: retrain', CAST(share * 100 AS DOUBLE))
+         ELSE printf('%.0f%% of columns drifted, not above 20%%: keep the model', CAST(share * 100 AS DOUBLE)) END AS message
+    FROM ({SHARE_SQL})""",
     "ref",
     "cur",
 )

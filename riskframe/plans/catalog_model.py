@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskframe.operators import attrib, audit, calibrate, conformal, metrics, model, prep, split
 from riskframe.plans.catalog_prep import DOC_CATEGORICAL
 from riskframe.plans.catalog_split import folds_sql
-from riskframe.plans.standins import rounded, sql, view
+from riskframe.plans.standins import LABELLED, rounded, sql, view
 from riskframe.session import materialize
 
 QUERIES: dict = {}
@@ -254,22 +254,27 @@ def documents(spark, d) -> DataFrame:
     return view(spark, d, "docs")
 
 
+def labelled(spark, d) -> DataFrame:
+    return documents(spark, d).where(LABELLED)
+
+
 def lr_line(spark, d) -> DataFrame:
-    """Balanced, penalised regression on one standardised feature, and its scores."""
+    """Balanced, penalised regression on one standardised feature; scores of all documents."""
     docs = documents(spark, d)
-    fitted = model.fit_model(docs, prep.FeatureSpec(["n_chars"], []), "quality", model.logistic_learner())
+    fitted = model.fit_model(docs.where(LABELLED), prep.FeatureSpec(["n_chars"], []), "quality", model.logistic_learner())
     return rounded(model.score(docs, fitted).select("doc_id", "p"), 4)
 
 
 LINE_LEVELS = """SELECT (n_chars - m) / s AS x, sum(CASE WHEN quality = 1 THEN n / (2 * n1) ELSE 0 END) AS t,
     sum(CASE WHEN quality = 1 THEN n / (2 * n1) ELSE n / (2 * (n - n1)) END) AS w
     FROM docs, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s, CAST(count(*) AS DOUBLE) AS n,
-                       CAST(sum(quality) AS DOUBLE) AS n1 FROM docs) GROUP BY 1"""
+                       CAST(sum(quality) AS DOUBLE) AS n1 FROM docs WHERE quality IS NOT NULL)
+    WHERE quality IS NOT NULL GROUP BY 1"""
 QUERIES["lr_line"] = lr_line
 ORACLES["lr_line"] = sql(
     f"""WITH {newton_sql(LINE_LEVELS, 10, '1')}
     SELECT doc_id, round(1 / (1 + exp(-(u + v * (n_chars - m) / s))), 4) AS p
-    FROM docs, b10, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM docs)""",
+    FROM docs, b10, (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM docs WHERE quality IS NOT NULL)""",
     "docs",
 )
 
@@ -282,12 +287,12 @@ def lr_score(spark, d) -> DataFrame:
 
 def gbt_score(spark, d) -> DataFrame:
     docs = documents(spark, d)
-    fitted = model.fit_model(docs, DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
+    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
     return model.score(docs, fitted).select("doc_id", "quality", "p")
 
 
 def cv_lr(spark, d) -> DataFrame:
-    folded = model.folded_table(documents(spark, d), DOC_SPEC, "quality", "shard", 3)
+    folded = model.folded_table(labelled(spark, d), DOC_SPEC, "quality", "shard", 5)
     return model.grouped_cv_scores(folded, model.logistic_learner())
 
 
@@ -298,7 +303,7 @@ QUERIES["cv_lr"] = cv_lr
 
 def fitted_boost(spark, d):
     docs = documents(spark, d)
-    fitted = model.fit_model(docs, DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
+    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
     return docs, fitted, attrib.explainer(fitted)
 
 

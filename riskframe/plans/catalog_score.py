@@ -70,11 +70,11 @@ ORACLES["attrib_global"] = sql(
     SELECT feature, round(importance, 6) AS importance FROM imp ORDER BY importance DESC, feature LIMIT 15""",
     "wide",
 )
-QUERIES["attrib_detail"] = lambda spark, d: rounded(attrib.effect_detail(long(spark, d), importance(spark, d, 2)))
+QUERIES["attrib_detail"] = lambda spark, d: rounded(attrib.effect_detail(long(spark, d), importance(spark, d)))
 ORACLES["attrib_detail"] = sql(
     f"""WITH {LINEAR_SQL}, {IMPORTANCE_SQL}
     SELECT feature, o_orderkey, round(value, 6) AS value, round(contribution, 6) AS contribution FROM long
-    WHERE feature IN (SELECT feature FROM imp ORDER BY importance DESC, feature LIMIT 2)""",
+    WHERE feature IN (SELECT feature FROM imp ORDER BY importance DESC, feature LIMIT 15)""",
     "wide",
 )
 
@@ -94,7 +94,7 @@ ORACLES["attrib_local"] = sql(
 )
 
 
-def reasons(df: DataFrame, top: int = 2) -> DataFrame:
+def reasons(df: DataFrame, top: int = 5) -> DataFrame:
     return df.withColumn("top_reasons", attrib.column_reasons(list(COEFS), top))
 
 
@@ -108,7 +108,7 @@ ORACLES["top_reasons"] = sql(
     f"""WITH {LINEAR_SQL}, ranked AS (SELECT *, row_number() OVER (
         PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, feature) AS r FROM long)
     SELECT o_orderkey, CAST(r - 1 AS INT) AS place, feature, round(contribution, 4) AS contribution,
-    CASE WHEN contribution > 0 THEN 'augmente' ELSE 'diminue' END AS direction FROM ranked WHERE r <= 2""",
+    CASE WHEN contribution > 0 THEN 'augmente' ELSE 'diminue' END AS direction FROM ranked WHERE r <= 5""",
     "wide",
 )
 

@@ -36,7 +36,6 @@ class Settings:
     trials: int = model.TRIALS
     tuning_folds: int = model.TUNING_FOLDS
     confidence: float = conformal.LEVEL
-    explain_rows: int = 2000
     drift_threshold: float = drift.DRIFT_SHARE
 
     @property
@@ -142,7 +141,7 @@ def calibrate_stage(
         for part, name in zip(split.three_way_split(train, s.target, s.group, s.seed), ("fit", "calib", "conform"))
     )
     spec = _spec(fit, s)
-    learner = learner or model.boosted_learner(seed=s.seed)
+    learner = learner or model.boosted_learner(model.TUNED_BOOST, seed=s.seed)
     base = model.fit_model(fit, spec, s.target, learner)
 
     calib_scores = materialize(
@@ -186,16 +185,15 @@ def explain_stage(
     """Importance, effects, the highest-risk row's reasons, and the audit."""
     train, test = _train_test(spark, s)
     spec = _spec(train, s)
-    fitted = model.fit_model(train, spec, s.target, learner or model.boosted_learner(seed=s.seed))
+    fitted = model.fit_model(train, spec, s.target, learner or model.boosted_learner(model.TUNED_BOOST, seed=s.seed))
     explain = attrib.explainer(fitted, train)
 
-    sample = materialize(model.score(split.fixed_sample(test, s.explain_rows, s.key, seed=s.seed), fitted), "sample")
-    long = materialize(attrib.model_contributions(sample, fitted, explain, s.key), "contributions")
-    importance = attrib.model_importance(sample, fitted, explain)
-    top = attrib.highest_risk(sample, "p", s.key).select(s.key)
+    scored = materialize(model.score(test, fitted), "test_scores")
+    long = materialize(attrib.model_contributions(scored, fitted, explain, s.key), "contributions")
+    importance = attrib.model_importance(scored, fitted, explain)
+    top = attrib.highest_risk(scored, "p", s.key).select(s.key)
     local = attrib.largest_contributions(long.join(F.broadcast(top), s.key, "left_semi"))  # one row
 
-    scored = materialize(model.score(test, fitted), "test_scores")
     fairness = audit.subgroup_metrics(scored, s.target, "p", [c for c in enc.SUBGROUPS if c in scored.columns])
     tables.write_csv(fairness, f"{s.reports_dir}/fairness")
     ap = metrics.average_precision(scored, "p", s.target).first()[0]

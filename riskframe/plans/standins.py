@@ -83,12 +83,13 @@ FROM {orders} LEFT JOIN (
     FROM {lineitem} GROUP BY l_orderkey) AS lines ON o_orderkey = l_orderkey
 """
 
-# Documents with a human label: a real binary target and rare levels.
+# All documents, with their human label where there is one: a real binary target and rare levels.
 DOCS = """
 SELECT d.doc_id AS doc_id, quality, n_chars, lang, concat(lang, '/', source) AS origin,
        CAST(d.doc_id % 40 AS INT) AS shard
-FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id
+FROM {documents} AS d LEFT JOIN {labels} AS l ON d.doc_id = l.doc_id
 """
+LABELLED = "quality IS NOT NULL"
 
 EVENTS_REF = "SELECT event_id, event_type, value, user_id FROM {events} WHERE ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"
 EVENTS_CUR = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,12 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
+    A session without executors (``local[n]``, as in tests) may leave it unset
+    and gets a temporary folder; any other must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="riskframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -42,7 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/riskframe/{name}-{uuid.uuid4().hex}"
+    """A new folder's path; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/riskframe/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def write_shared(df: DataFrame, name: str) -> str:

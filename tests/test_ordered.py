@@ -87,3 +87,25 @@ def test_attach_by_key_with_hot_and_missing_keys(spark, slice_rows):
     out = attach_by_key(rows, keyed, "k", "n", slice_rows).collect()
     assert sorted(r.i for r in out) == list(range(len(keys)))
     assert all(r.first == keys.index(r.k) for r in out)
+
+
+def test_empty_column_leaves_the_margin_of_others(spark, monkeypatch):
+    """One column without values in one set must not widen the search of the rest."""
+    df = spark.range(20_000).selectExpr("id % 2 as s", "cast(id * 37 % 9973 as double) as v", "if(id % 2 = 0, 1.0, null) as w")
+    sets = {"a": F.col("s") == 0, "b": F.col("s") == 1}
+    seen = []
+    narrowed = ordered._narrowed
+    monkeypatch.setattr(ordered, "_narrowed", lambda b, below, n, grid, m: seen.append(m) or narrowed(b, below, n, grid, m))
+    found = ordered.exact_quantiles(df, ["v", "w"], [0.5], sets)
+    assert found["b", "w"] == [None] and found["a", "w"] == [1.0]
+    assert seen and max(seen) < 20
+
+
+def test_wide_brackets_have_many_ranges(spark, monkeypatch):
+    df = spark.range(5_000).selectExpr("cast(id as double) as v")
+    cuts = []
+    long_values = ordered.long_values
+    monkeypatch.setattr(ordered, "long_values", lambda d, c, at, keep=(): cuts.append(at) or long_values(d, c, at, keep))
+    monkeypatch.setattr(ordered, "MARGINS", (ordered.GRID,))
+    assert ordered.exact_quantiles(df, ["v"], [0.5])["all", "v"] == [2499.5]
+    assert len(cuts[0]["v"]) > 100

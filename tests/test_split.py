@@ -80,10 +80,17 @@ def test_summary_counts_groups_on_both_sides(spark):
     assert rows["a"].common_groups == 1
 
 
-@pytest.mark.parametrize("k", [1, 50, 399, 10_000])
-def test_fixed_sample_is_the_same_by_both_ways(spark, k, monkeypatch):
+@pytest.mark.parametrize("k", [0, 1, 50, 399, 10_000])
+def test_fixed_sample_is_the_smallest_digests(spark, k):
     df = grouped(spark)
-    small = {r.row_id for r in split.fixed_sample(df, k, "row_id").collect()}
-    monkeypatch.setattr(split, "TOP_K_LIMIT", 0)
-    large = {r.row_id for r in split.fixed_sample(df.repartition(13), k, "row_id").collect()}
-    assert small == large and len(small) == min(k, df.count())
+    got = {r.row_id for r in split.fixed_sample(df.repartition(13), k, "row_id").collect()}
+    want = df.orderBy(split.key_digest(split.SEED, "row_id"), "row_id").limit(k)
+    assert got == {r.row_id for r in want.collect()} and len(got) == min(k, df.count())
+
+
+def test_three_way_split_equals_two_drafts(spark):
+    df = grouped(spark)
+    rest, conform = split.holdout_split(df, "y", "patient_nbr", 0.2)
+    fit, calib = split.holdout_split(rest, "y", "patient_nbr", 0.25)
+    ids = lambda t: {r.row_id for r in t.collect()}
+    assert [ids(t) for t in split.three_way_split(df, "y", "patient_nbr")] == [ids(fit), ids(calib), ids(conform)]

@@ -13,7 +13,7 @@ SMALL = {"maxIter": 3, "maxDepth": 3}
 @pytest.fixture(scope="module")
 def settings(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("work")
-    s = stages.Settings(f"{root}/data", f"{root}/models", f"{root}/reports", trials=1, tuning_folds=2, cv_folds=2, explain_rows=200)
+    s = stages.Settings(f"{root}/data", f"{root}/models", f"{root}/reports", trials=1, tuning_folds=2, cv_folds=2)
     source = f"{root}/source"
     view(spark, SF, "enc").write.parquet(source)
     stages.ingest_stage(spark, s, source, "parquet")
