@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import attrib, audit, calibrate, conformal, metrics, model, prep, split
-from riskframe.plans.catalog_prep import DOC_CATEGORICAL
+from riskframe.plans.catalog_prep import DOC_CATEGORICAL, vocabulary_sql
 from riskframe.plans.catalog_split import folds_sql
 from riskframe.plans.standins import LABELLED, rounded, sql, view
 from riskframe.session import materialize
@@ -285,6 +286,42 @@ def lr_score(spark, d) -> DataFrame:
     return model.score(wide, fitted).select("o_orderkey", "y", "p")
 
 
+def lr_gradient(spark, d) -> DataFrame:
+    """Per feature: whether the penalised loss is flat at the fitted coefficients.
+
+    At the optimum, the weighted errors times the feature's values and the
+    coefficient (the penalty's share) add up to nothing.
+    """
+    wide = materialize(view(spark, d, "wide"), "wide")
+    fitted = model.fit_model(wide, WIDE_SPEC, "y", model.logistic_learner())
+    n0, n1 = wide.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    n = n0 + n1
+    weight = F.when(F.col("y") == 1, n / (2 * n1)).otherwise(n / (2 * n0))
+    error = weight * (vector_to_array("probability")[1] - F.col("y"))
+    _, indices, values = prep.sparse_parts()
+    constant = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))
+    cells = F.explode(F.concat(F.arrays_zip(indices.alias("i"), values.alias("v")), constant))
+    sums = (
+        fitted.stages.transform(wide)
+        .select(error.alias("error"), cells.alias("c"))
+        .groupBy(F.col("c.i").alias("i"))
+        .agg(F.sum(F.col("error") * F.col("c.v")).alias("pull"))
+    )
+    solved = [*enumerate(zip(fitted.names, fitted.classifier.coefficients.tolist())), (-1, ("intercept", 0.0))]
+    named = spark.createDataFrame([(i, name, c) for i, (name, c) in solved], "i int, feature string, coef double")
+    flat = F.abs(F.col("pull") + F.col("coef")) / n < 1e-5
+    return named.join(sums, "i").select("feature", flat.alias("flat"))  # one row per feature
+
+
+QUERIES["lr_gradient"] = lr_gradient
+ORACLES["lr_gradient"] = sql(
+    f"""WITH vocab AS ({vocabulary_sql('wide', WIDE_SPEC.categorical)})
+    SELECT DISTINCT slot AS feature, true AS flat FROM vocab UNION ALL
+    SELECT unnest(['intercept', {', '.join(f"'{c}'" for c in WIDE_SPEC.numeric)}]) AS feature, true AS flat""",
+    "wide",
+)
+
+
 def gbt_score(spark, d) -> DataFrame:
     docs = documents(spark, d)
     fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))

@@ -87,12 +87,12 @@ ORACLES["impute_missing_cat"] = sql(
 )
 
 
-def vocabulary_sql(source: str) -> str:
+def vocabulary_sql(source: str, columns=DOC_CATEGORICAL) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, coalesce({c}, 'Missing') AS level, count(*) AS n,
-        concat('{c}_', CASE WHEN count(*) >= 10 THEN coalesce({c}, 'Missing') ELSE 'infrequent' END) AS slot
+        f"""SELECT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), 'Missing') AS level, count(*) AS n,
+        concat('{c}_', CASE WHEN count(*) >= 10 THEN coalesce(CAST({c} AS VARCHAR), 'Missing') ELSE 'infrequent' END) AS slot
         FROM {source} GROUP BY 2"""
-        for c in DOC_CATEGORICAL
+        for c in columns
     )
 
 
