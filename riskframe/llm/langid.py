@@ -45,7 +45,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters; signs that only look like words (as superscripts do) are none."""
+    return [w for w in _WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
