@@ -26,9 +26,6 @@ MISSING_LEVEL = "Missing"
 INFREQUENT = "infrequent"
 MIN_FREQUENCY = 10
 
-# The one-hot width is also the length of the model's coefficient vector,
-# which the driver and every task hold.
-MAX_WIDTH = 5_000_000
 # Rare levels up to this number travel with the indexer; more are joined.
 MAX_INDEXED_RARE = 1_000_000
 
@@ -178,13 +175,15 @@ def category_stats(
     categorical: Sequence[str],
     sets: Mapping[str, Column] | None = None,
     min_frequency: int = MIN_FREQUENCY,
-    max_width: int = MAX_WIDTH,
+    max_width: int | None = None,
     max_indexed_rare: int = MAX_INDEXED_RARE,
 ) -> dict[str, tuple[dict[str, LevelStats], DataFrame | None]]:
     """Frequent and rare levels per set and column.
 
-    Sizes are checked on the written level table before anything is collected.
-    Rare levels beyond the limit stay in a table and are joined when encoding.
+    The one-hot width is also the length of the model's coefficient vector, which
+    the driver and every task hold: a caller who knows their memory can bound it
+    by ``max_width``, checked on the written level table before anything is
+    collected; ``onehot_long`` has no such vector. Rare levels beyond the limit stay in a table and are joined when encoding.
     """
     sets = dict(sets or {"all": F.lit(True)})
     if not categorical:
@@ -199,7 +198,7 @@ def category_stats(
     out = {}
     for s, n in names.items():
         width = sum(r[f"f_{n}"] for r in per_column.values())
-        if width > max_width:
+        if max_width is not None and width > max_width:
             raise ValueError(
                 f"{width} levels reach min_frequency={min_frequency}; a model that wide does not fit "
                 "in a task. Raise min_frequency or leave out the widest columns."
@@ -244,9 +243,12 @@ class RareLevelJoin(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     Used when the rare levels are too many to travel with the model. Levels
     the indexer already knows get a key of their own, spread by the row's
-    hash, so that a frequent level does not gather in one task.
+    hash; all others, which may be new and frequent, are dealt over SALTS
+    copies of the stored levels. So no level gathers in one task.
     """
 
+    SALTS = 64
+
     path = Param(Params._dummy(), "path", "folder of the rare levels", TypeConverters.toString)
     column = Param(Params._dummy(), "column", "column the levels belong to", TypeConverters.toString)
     levelCol = Param(Params._dummy(), "levelCol", "level text", TypeConverters.toString)
@@ -264,11 +266,12 @@ class RareLevelJoin(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         rare = (
             df.sparkSession.read.parquet(value(self.path))
             .where(F.col("column_name") == value(self.column))
-            .select(F.concat(F.lit("l"), "level").alias("_level"), F.lit(True).alias(value(self.outputCol)))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(self.SALTS - 1))))
+            .select(F.concat("_salt", F.lit("l"), "level").alias("_level"), F.lit(True).alias(value(self.outputCol)))
         )
-        spread = F.concat(F.lit("k"), F.xxhash64(*[c for c in df.columns if c != value(self.indexCol)]).cast("string"))
-        key = F.when(F.col(value(self.indexCol)) < value(self.known), spread).otherwise(
-            F.concat(F.lit("l"), F.col(value(self.levelCol)))
+        own = F.xxhash64(F.monotonically_increasing_id())
+        key = F.when(F.col(value(self.indexCol)) < value(self.known), F.concat(F.lit("k"), own.cast("string"))).otherwise(
+            F.concat(F.pmod(own, F.lit(self.SALTS)).cast("string"), F.lit("l"), F.col(value(self.levelCol)))
         )
         return df.withColumn("_key", key).join(rare, F.col("_key") == F.col("_level"), "left").drop("_key", "_level")
 
