@@ -139,9 +139,8 @@ def near_links(codes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_F
 
         return step
 
-    found = None
+    found, entries = None, None
     fixed: dict[int, list[int]] = {0: []}  # bits that the shards of each way share
-    entries = codes.select("code", F.lit(0).alias("way"))
     while True:
         # Deal by each block of the bits that are still free.
         ways, table = {}, []
@@ -151,12 +150,14 @@ def near_links(codes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_F
                 table.append((way, len(ways), _mask(bits + block)))
                 ways[len(ways)] = bits + block
         fixed = ways
-        steps = spark.createDataFrame(table, "way int, next int, mask bigint")
-        entries = materialize(
-            entries.join(F.broadcast(steps), "way")  # (radius + 1) ** level rows
-            .select(F.col("next").alias("way"), F.col("code").bitwiseAND(F.col("mask")).alias("part"), "code"),
-            "shards",
-        )
+        if entries is None:  # all codes go every first way
+            masks = F.array(*[F.struct(F.lit(to).alias("next"), F.lit(mask).alias("mask")) for _, to, mask in table])
+            dealt = codes.select("code", F.explode(masks).alias("step")).select("code", "step.*")
+        else:
+            steps = spark.createDataFrame(table, "way int, next int, mask bigint")
+            dealt = entries.join(F.broadcast(steps), "way")  # (radius + 1) ** level rows
+        part = F.col("code").bitwiseAND(F.col("mask")).alias("part")
+        entries = materialize(dealt.select(F.col("next").alias("way"), part, "code"), "shards")
         counts = entries.groupBy("way", "part").agg(F.count(F.lit(1)).alias("n"))
         large = materialize(counts.where(F.col("n") > shard_size).select("way", "part"), "large-shards")
         shards = (
