@@ -173,6 +173,39 @@ ORACLES["calib_select"] = sql(
     "scored",
 )
 
+CALIBRATION_ROWS = "encounter_id % 2 = 0"  # both calibrators learn from these, the others choose
+
+
+def calib_choice(spark, d) -> DataFrame:
+    """Brier score of the isotonic and the sigmoid calibration on rows neither has seen; the lower is chosen."""
+    rows = materialize(scored(spark, d).select("encounter_id", "y", "p"), "scored")
+    judged = rows.where(f"NOT ({CALIBRATION_ROWS})")
+    for method in calibrate.METHODS:
+        judged = calibrate.fit_calibration(rows.where(CALIBRATION_ROWS), "p", "y", method).apply(judged, "p", method)
+    return rounded(calibrate.brier_by_method(judged, "y", {m: m for m in calibrate.METHODS}), 5)
+
+
+FIT_SQL = f"fit AS (SELECT * FROM scored WHERE {CALIBRATION_ROWS}), judged AS (SELECT * FROM scored WHERE NOT ({CALIBRATION_ROWS}))"
+ISOTONIC_SQL = """pool AS (SELECT p, row_number() OVER (ORDER BY p) AS i, s, w FROM (
+        SELECT p, CAST(sum(y) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS w FROM fit GROUP BY p)),
+    cum AS (SELECT p, i, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw, s, w FROM pool),
+    mean AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m
+             FROM cum AS a JOIN cum AS b ON a.i <= b.i),
+    low AS (SELECT a, cum.i, min(m) AS m FROM mean JOIN cum ON a <= cum.i AND b >= cum.i GROUP BY ALL),
+    iso AS (SELECT p, max(m) AS c FROM low JOIN cum USING (i) GROUP BY p),
+    near AS (SELECT j.y, j.p, lo.p AS lp, lo.c AS lc, hi.p AS hp, hi.c AS hc FROM judged AS j
+             ASOF LEFT JOIN iso AS lo ON j.p >= lo.p ASOF LEFT JOIN iso AS hi ON j.p <= hi.p),
+    stepped AS (SELECT y, CASE WHEN lp IS NULL THEN hc WHEN hp IS NULL THEN lc WHEN lp = hp THEN lc
+                          ELSE lc + (hc - lc) * (p - lp) / (hp - lp) END AS q FROM near)"""
+QUERIES["calib_choice"] = calib_choice
+ORACLES["calib_choice"] = sql(
+    f"""WITH {FIT_SQL}, {ISOTONIC_SQL}, {newton_sql(SIGMOID_LEVELS.replace('FROM scored', 'FROM fit'), 10)}
+    SELECT 'isotonic' AS method, round(avg((q - y) * (q - y)), 5) AS brier FROM stepped UNION ALL
+    SELECT 'sigmoid' AS method, round(avg((1 / (1 + exp(-(u + v * p))) - y) * (1 / (1 + exp(-(u + v * p))) - y)), 5) AS brier
+    FROM judged, b10""",
+    "scored",
+)
+
 # --- conformal prediction ----------------------------------------------------
 
 LEVEL = 0.9

@@ -37,9 +37,13 @@ def write_checked(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, findings = split_by_contract(batch, contract)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        findings.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        batch = batch.persist()  # read once for both writes
+        try:
+            good, findings = split_by_contract(batch, contract)
+            good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            findings.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write
 
