@@ -44,11 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path; what is written there goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/riskframe/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A new folder's path in the session's own folder, which goes when its JVM ends."""
+    own = f"{shared_dir(spark)}/riskframe-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def write_shared(df: DataFrame, name: str) -> str:
