@@ -111,9 +111,8 @@ def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]
         at = close + 4
 
 
-def _write(records: DataFrame, name: str) -> str:
+def _write(records: DataFrame, path: str) -> str:
     """Write (chunk, value) as gzip archives; a task's chunks are files of their own."""
-    path = new_shared_path(records.sparkSession, name)
     (
         records.write.partitionBy("chunk")
         .option("lineSep", END + END)
@@ -153,8 +152,10 @@ def _as_records(chunks: list[int], values: list[bytes]) -> list[pa.Array]:
     return [pa.array(chunks, pa.int32()), pa.array(values, pa.binary()).cast(pa.string())]
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> str:
-    """One response record per row; returns the archives' folder."""
+def write_archives(
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html"
+) -> str:
+    """One response record per row, in archives below the new folder ``path``."""
     named = with_number(
         pages.select(
             F.coalesce(quoted(page_id).cast("string"), F.lit("")).alias("page"),
@@ -174,7 +175,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
         return step
 
-    return _write(map_batches(named, [], [F.col(c) for c in named.columns], _RECORDS, make), "archives")
+    return _write(map_batches(named, [], [F.col(c) for c in named.columns], _RECORDS, make), path)
 
 
 HEADER = (
@@ -231,8 +232,8 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0, page_type: str =
     return repeats.groupBy("path").agg(F.collect_list(one).alias("repeats"))  # one archive's records
 
 
-def write_deduplicated(files: DataFrame, repeats: DataFrame) -> str:
-    """Every record again, repeats as revisit records; returns the new folder."""
+def write_deduplicated(files: DataFrame, repeats: DataFrame, path: str) -> str:
+    """Every record again, repeats as revisit records, in archives below the new folder ``path``."""
 
     def make():
         chunks = _Chunks()
@@ -255,19 +256,28 @@ def write_deduplicated(files: DataFrame, repeats: DataFrame) -> str:
         return step
 
     joined = files.join(repeats, "path", "left")
-    return _write(map_batches(joined, [], [F.col("content"), F.col("repeats")], _RECORDS, make), "deduplicated")
+    return _write(map_batches(joined, [], [F.col("content"), F.col("repeats")], _RECORDS, make), path)
 
 
 def deduplicate_pages(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0
+    pages: DataFrame,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    least_bytes: int = 0,
+    folder: str | None = None,
 ) -> tuple[str, DataFrame]:
     """The folder of the deduplicated archives and, read back from it, one row per record:
-    page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    ``folder`` is a new folder for archives to keep; without it they go with the session.
+    """
     spark = pages.sparkSession
     kind = pages.schema[page_id].dataType.simpleString()
-    files = read_archives(spark, write_archives(pages, page_id, url, html))
+    files = read_archives(spark, write_archives(pages, new_shared_path(spark, "archives"), page_id, url, html))
     headers = materialize(read_headers(files), "headers")
-    out = write_deduplicated(files, resolve_revisits(headers, least_bytes, kind))
+    out = folder or new_shared_path(spark, "deduplicated")
+    write_deduplicated(files, resolve_revisits(headers, least_bytes, kind), out)
     back = read_headers(read_archives(spark, out))
     return out, back.select(
         F.expr(f"try_cast(page AS {kind})").alias("page_id"),

@@ -39,8 +39,9 @@ def test_equals_brute_force(spark, least):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_archives_hold_whole_payloads_and_fresh_headers(spark):
-    path, out = warc.deduplicate_pages(spark.createDataFrame(rows(), SCHEMA))
+def test_archives_hold_whole_payloads_and_fresh_headers(spark, tmp_path):
+    path, out = warc.deduplicate_pages(spark.createDataFrame(rows(), SCHEMA), folder=f"{tmp_path}/warc")
+    assert path == f"{tmp_path}/warc"
     payloads, ids, refers = {}, [], []
     for r in warc.read_archives(spark, path).collect():
         assert gzip.decompress(r["content"]).startswith(b"WARC/1.1\r\n")
