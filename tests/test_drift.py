@@ -92,9 +92,10 @@ def test_same_table_does_not_drift(spark):
     assert {(r.test, r.statistic, r.drifted) for r in rows} == {("wasserstein", 0.0, False), ("jensen_shannon", 0.0, False)}
 
 
-def test_report_uses_tests_on_small_tables(spark):
+def test_report_by_tests_at_the_callers_word(spark):
     _, _, a, b = sides(spark)
-    rows = {r.column_name: r for r in drift.drift_report(a.limit(500), b, ["x"], ["c"]).collect()}
+    assert {r.test for r in drift.drift_report(a.limit(500), b, ["x"], ["c"]).collect()} == {"wasserstein", "jensen_shannon"}
+    rows = {r.column_name: r for r in drift.drift_report(a.limit(500), b, ["x"], ["c"], method="test").collect()}
     assert rows["x"].test == "ks" and rows["c"].test == "chi_square"
     assert rows["c"].p_value == 0.0 and rows["c"].drifted
 
@@ -102,7 +103,7 @@ def test_report_uses_tests_on_small_tables(spark):
 def test_two_levels_use_proportions(spark):
     a = spark.createDataFrame([("y",)] * 30 + [("n",)] * 70, "c string")
     b = spark.createDataFrame([("y",)] * 50 + [("n",)] * 50, "c string")
-    r = drift.drift_report(a, b, [], ["c"]).first()
+    r = drift.drift_report(a, b, [], ["c"], method="test").first()
     z = 0.2 / math.sqrt(0.4 * 0.6 * (2 / 100))
     assert r.test == "z_test" and np.isclose(r.p_value, math.erfc(z / math.sqrt(2))) and r.drifted
 
@@ -116,10 +117,11 @@ def test_ks_tail():
     assert np.isclose(drift._ks_tail(1.3581 / math.sqrt(50), 100, 100), 0.05, atol=1e-4)
 
 
-def test_few_levels_are_compared_as_categories(spark):
+def test_the_caller_names_the_kind(spark):
     a = spark.createDataFrame([(i % 4,) for i in range(1500)], "n int")
     b = spark.createDataFrame([(i % 3,) for i in range(1500)], "n int")
-    assert drift.drift_report(a, b, ["n"], []).first().test == "jensen_shannon"
+    assert drift.drift_report(a, b, ["n"], []).first().test == "wasserstein"
+    assert drift.drift_report(a, b, [], ["n"]).first().test == "jensen_shannon"
 
 
 def test_share_and_decision(spark):
