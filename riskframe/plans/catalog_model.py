@@ -16,7 +16,6 @@ ORACLES: dict = {}
 
 DOC_SPEC = prep.FeatureSpec(["n_chars"], DOC_CATEGORICAL)
 WIDE_SPEC = prep.FeatureSpec(["total", "quantity", "discount", "n_lines"], ["priority", "segment_id"])
-SMALL_BOOST = {"maxIter": 10, "maxDepth": 4, "minInstancesPerNode": 5}
 
 
 def scored(spark, d) -> DataFrame:
@@ -357,7 +356,7 @@ ORACLES["lr_gradient"] = sql(
 
 def gbt_score(spark, d) -> DataFrame:
     docs = documents(spark, d)
-    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
+    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(model.TUNED_BOOST))
     return model.score(docs, fitted).select("doc_id", "quality", "p")
 
 
@@ -373,7 +372,7 @@ QUERIES["cv_lr"] = cv_lr
 
 def fitted_boost(spark, d):
     docs = documents(spark, d)
-    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(SMALL_BOOST))
+    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(model.TUNED_BOOST))
     return docs, fitted, attrib.explainer(fitted)
 
 
