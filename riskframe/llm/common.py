@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -88,6 +89,16 @@ def map_batches(
     return rows.mapInArrow(run, T.StructType(fields)).toDF(*keep, *added.names)
 
 
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without gaps, and where each value starts and the last one ends."""
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    places = np.frombuffer(offsets, dtype="<i8" if wide else "<i4")[column.offset : column.offset + len(column) + 1]
+    places = places.astype(np.int64)
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    return whole[places[0] : places[-1]], places - places[0]
+
+
 def with_number(df: DataFrame, name: str) -> DataFrame:
     """Number the rows; write the result before it is read twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, langid, pack, pitman_yor, quality, shard, simhash, topk, toxicity, warc
+from riskframe.llm import (
+    decontaminate, langid, pack, pitman_yor, quality, shard, simhash, suffix_levels, topk, toxicity, warc
+)
 from riskframe.llm.common import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -124,3 +126,8 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(read_table(spark, sf_dir, "documents"))
