@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm import (
-    decontaminate, langid, pack, pitman_yor, quality, shard, simhash, suffix_levels, topk, toxicity, warc
+    bit_slices, decontaminate, langid, pack, pitman_yor, quality, shard, simhash, suffix_levels, token_links, topk, toxicity, warc
 )
 from riskframe.llm.common import read_table
 
@@ -131,3 +131,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+ORACLES["op13_bit_slices"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT count(*) AS docs, sum(len(w)) AS tokens FROM d WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM counted, totals GROUP BY term),
+parts AS (
+    SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // tokens))) AS part
+    FROM counted JOIN weights USING (term), totals),
+scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align(read_table(spark, sf_dir, "documents"))
