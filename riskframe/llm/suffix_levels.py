@@ -1,25 +1,28 @@
 """Long repeated byte strings by a logarithmic family of suffix arrays.
 
 Texts are indexed in batches. A batch gets a suffix array: its suffixes in order
-of their leading bytes, with a digest of the context they must share to lie in a
-match. It is merge-scanned against every array of the family, then joins the
-family; two arrays of equal size are merged into one of the next size, so n
-batches leave at most log2(n) + 1 arrays.
-
-The arrays are sparse: of every ``window - 1`` neighbouring places the one whose
-eight bytes have the smallest hash is indexed (its *anchor*). A string of
-``length`` bytes takes its anchor from its own first bytes, so equal strings
-have their anchors at the same place and share the ``length - window + 8`` bytes
-behind it. About two suffixes per window bytes are kept instead of all.
-
-An anchor owns a run of neighbouring strings. Suffixes whose whole runs are
-equal form a class, one row of an array with its count. A class of several
-members is a long match as it stands. Classes that share an anchor's context but
-differ as a whole are compared by cells of strings: a cell whose text recurs is
-a match, a cell whose common core does not recur holds none, and only cells
-between the two are compared string by string.
-
-Equality is that of 64-bit digests inside groups of equal 64-bit digests.
+of their leading bytes, each with a digest of the bytes it must share to lie in
+a match, and how many places hold it. The array is merge-scanned against every
+array of the family, then joins the family; two arrays of equal size are merged
+into one of the next size, so n batches leave at most log2(n) + 1 arrays. Arrays
+are bucketed and sorted alike, so scans and merges move no rows between tasks.
+
+The arrays are sparse: of ``window - 7`` neighbouring places the one whose eight
+bytes have the smallest hash is indexed (its *anchor*). A string of ``length``
+bytes takes its anchor from its first ``window`` bytes, so equal strings have
+their anchors at the same place, and share the ``length - window + 8`` bytes from
+the anchor on, its *context*. About two suffixes per window are kept, not all.
+
+An anchor owns a run of neighbouring strings. Only places whose context the
+scans found elsewhere are looked at again. Places whose whole runs are equal
+form a class; a class of several is a match as it stands. Classes of one context
+that differ as a whole are compared by cells of strings: a cell whose text
+recurs is a match, a cell whose common core does not recur holds none, and only
+cells between the two are compared string by string.
+
+Texts are written once and stay where they lie: what is found about them is
+shuffled to their files. Equality is that of 64-bit digests inside groups of
+equal contexts.
 
 Defined cases: a missing or empty text has no bytes; texts shorter than
 ``length`` are never touched; repeated rows are documents of their own, so a
@@ -31,19 +34,21 @@ from __future__ import annotations
 import hashlib
 import uuid
 from array import array
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from riskframe.llm.common import binary_parts, map_batches, quoted, whole_bytes, with_number
+from riskframe.llm.common import binary_parts, map_batches, quoted, remove, whole_bytes, with_number
 from riskframe.operators.keyed import attach_by_key
-from riskframe.session import materialize, new_shared_path
+from riskframe.session import materialize, new_shared_path, write_shared
 
 LENGTH = 400
 #: A string takes its anchor from its first WINDOW bytes.
-WINDOW = 256
+WINDOW = 288
 GRAM = 8
 #: Batches that one call of ``remove_repeats`` makes of a table.
 BATCHES = 4
@@ -53,7 +58,10 @@ CELL = 16
 PLACES = 1 << 18
 SLICE_BYTES = 2 << 20
 
-ENTRY = "anchor int, first int, last int, prefix bigint, context bigint, whole bigint"
+#: A text's file and its number.
+TEXT = ["part", "number"]
+ENTRY = "anchor int, first int, last int, context bigint, whole bigint"
+CLASS = ["context", "whole"]
 
 
 def _signed(values) -> np.ndarray:
@@ -132,7 +140,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, window:
 
 
 def index_entries(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """number and ``ENTRY`` of every indexed suffix of (number, data)."""
+    """``TEXT`` and ``ENTRY`` of every indexed suffix of (part, number, data).
+
+    ``context`` leads with the suffix's first four bytes, so it sorts as the suffixes do.
+    """
     shared = length - window + GRAM
 
     def make():
@@ -140,54 +151,63 @@ def index_entries(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -
             data, offsets = binary_parts(texts)
             doc, anchor, first, last = anchors(data, offsets, length, window)
             view = memoryview(data)
-            prefix = [int.from_bytes(view[a : a + 8], "big") for a in anchor.tolist()]
-            context = [xxh64_intdigest(view[a : a + shared]) for a in anchor.tolist()]
+            context = [
+                (int.from_bytes(view[a : a + 4], "big") << 32 | xxh64_intdigest(view[a : a + shared]) >> 32) - (1 << 63)
+                for a in anchor.tolist()
+            ]
             whole = [
                 xxh3_64_intdigest(view[s : e + length], (a - s) << 16 | (e - s))
                 for a, s, e in zip(anchor.tolist(), first.tolist(), last.tolist())
             ]
             base = offsets[doc]
             own = [pa.array((x - base).astype(np.int32)) for x in (anchor, first, last)]
-            return pa.array(doc), [*own, *(pa.array(_signed(x)) for x in (prefix, context, whole))]
+            return pa.array(doc), [*own, pa.array(context, pa.int64()), pa.array(_signed(whole))]
 
         return step
 
-    return map_batches(docs, ["number"], [F.col("data")], ENTRY, make, SLICE_BYTES)
+    return map_batches(docs.where(F.length("data") >= length), TEXT, [F.col("data")], ENTRY, make, SLICE_BYTES)
+
+
+class Bucketed:
+    """A table of the session's own folder, bucketed by one column."""
 
+    def __init__(self, df: DataFrame, name: str, key: str, sort: bool = False, split: Sequence[str] = ()):
+        self.spark = df.sparkSession
+        self.name, self.path = f"riskframe_{name}_{uuid.uuid4().hex}", new_shared_path(self.spark, name)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.write.bucketBy(buckets, key).option("path", self.path).option("compression", "zstd")
+        writer = writer.partitionBy(*split) if split else writer
+        (writer.sortBy(key) if sort else writer).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
 
-KEY = ["prefix", "context"]
-CLASS = [*KEY, "whole"]
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        remove(self.spark, self.path)
 
 
 def suffix_array(entries: DataFrame) -> DataFrame:
-    """Classes of equal runs with their count and one member, in suffix order inside each partition."""
-    member = F.min(F.struct("number", "anchor", "first", "last")).alias("member")
-    return entries.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), member).sortWithinPartitions(*CLASS)
+    """(context, n): distinct contexts and their places, summed before they are shuffled."""
+    return entries.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(arrays: list[DataFrame]) -> DataFrame:
-    """One array of several."""
+    """One array of several: joins of sorted buckets, as a grouped union of buckets would be dealt anew or worse."""
     rows = arrays[0]
     for more in arrays[1:]:
-        rows = rows.unionByName(more)
-    if len(arrays) == 1:
-        return rows
-    return rows.groupBy(*CLASS).agg(F.sum("n").alias("n"), F.min("member").alias("member")).sortWithinPartitions(*CLASS)
+        own = more.select(F.col("context").alias("other"), F.col("n").alias("more"))
+        both = rows.join(own, F.col("context") == F.col("other"), "full")
+        total = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+        rows = both.select(F.coalesce("context", "other").alias("context"), total.alias("n"))
+    return rows
 
 
-def long_matches(array: DataFrame, family: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Merge-scan: (classes that are matches as a whole, contexts where different classes meet).
-
-    Each side is one row per class, or per context, before it is joined, so a
-    passage that many texts share makes one row a side.
-    """
-    own = array.groupBy(*KEY).agg(F.count(F.lit(1)).alias("classes"))
-    whole = [array.where("n > 1").select(*CLASS)]
-    shared = [own.where("classes > 1").select(*KEY)]
-    for level in family:
-        whole.append(array.select(*CLASS).join(level.select(*CLASS), CLASS))
-        shared.append(own.select(*KEY).join(level.select(*KEY).distinct(), KEY))
-    return _all(whole), _all(shared)
+def long_matches(array: DataFrame, family: list[DataFrame]) -> DataFrame:
+    """Merge-scan: the contexts of ``array`` with several places, in it or in the family."""
+    known = F.col("n") > 1
+    for i, level in enumerate(family):
+        array = array.join(level.select("context", F.lit(True).alias(f"met{i}")), "context", "left")
+        known = known | F.coalesce(F.col(f"met{i}"), F.lit(False))
+    return array.where(known).select("context")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -201,20 +221,17 @@ class Family:
     """Arrays by size: ``levels[i]`` holds 2**i batches or is empty."""
 
     def __init__(self) -> None:
-        self.levels: list[DataFrame | None] = []
-        self.whole: list[DataFrame] = []
-        self.shared: list[DataFrame] = []
+        self.levels: list[Bucketed | None] = []
+        self.found: list[DataFrame] = []
 
     def arrays(self) -> list[DataFrame]:
-        return [x for x in self.levels if x is not None]
+        return [x.rows for x in self.levels if x is not None]
 
     def add(self, entries: DataFrame) -> None:
         """Scan a batch's array against the family, then merge it in."""
-        array = materialize(suffix_array(entries), "array")
-        whole, shared = long_matches(array, self.arrays())
-        self.whole.append(materialize(whole, "whole"))
-        self.shared.append(materialize(shared, "shared"))
-        level, carried = 0, [array]
+        new = Bucketed(suffix_array(entries), "array", "context", sort=True)
+        self.found.append(materialize(long_matches(new.rows, self.arrays()), "found"))
+        level, carried = 0, [new]
         while level < len(self.levels) and self.levels[level] is not None:
             carried.append(self.levels[level])
             self.levels[level] = None
@@ -222,21 +239,42 @@ class Family:
         if level == len(self.levels):
             self.levels.append(None)
         # Carries meet in one merge: no array is written to be merged again at once.
-        self.levels[level] = materialize(merged(carried), "array") if len(carried) > 1 else array
-
-    def matches(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(classes, wholly matched classes with their count, contexts where classes meet)."""
-        classes = merged(self.arrays())
-        whole = classes.join(_all(self.whole).distinct(), CLASS, "left_semi").select(*CLASS, "n")
-        return classes, whole, _all(self.shared).distinct()
-
-
-def _window_rows(docs: DataFrame, wanted: DataFrame, result: str, make) -> DataFrame:
-    """Rows made from the texts that ``wanted`` names by number, all of a text's at once."""
-    columns = [c for c in wanted.columns if c != "number"]
-    per_text = wanted.groupBy("number").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
-    both = docs.select("number", "data").join(per_text, "number")
-    return map_batches(both, ["number"], [F.col("data"), F.col("wanted")], result, make, SLICE_BYTES)
+        self.levels[level] = new
+        if len(carried) > 1:
+            self.levels[level] = Bucketed(merged([x.rows for x in carried]), "array", "context", sort=True)
+            for old in carried:
+                old.drop()
+
+    def contexts(self) -> DataFrame:
+        """(context, n) of every context with several places."""
+        return merged(self.arrays()).join(_all(self.found).distinct(), "context", "left_semi")
+
+    def drop(self) -> None:
+        for level in self.levels:
+            if level is not None:
+                level.drop()
+
+
+@contextmanager
+def _beside_texts(spark: SparkSession) -> Iterator[None]:
+    """Joins by file and number leave the texts in the files' buckets."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _window_rows(docs: DataFrame, wanted: DataFrame, result: str, make, name: str) -> DataFrame:
+    """Rows made from the texts that ``wanted`` names, all of a text's at once."""
+    columns = [c for c in wanted.columns if c not in TEXT]
+    per_text = materialize(wanted.groupBy(*TEXT).agg(F.collect_list(F.struct(*columns)).alias("wanted")), "wanted")
+    both = docs.select(*TEXT, "data").join(per_text, TEXT)
+    rows = map_batches(both, TEXT, [F.col("data"), F.col("wanted")], result, make, SLICE_BYTES)
+    with _beside_texts(docs.sparkSession):
+        return materialize(rows, name)
 
 
 def _columns(kinds: str) -> list[array]:
@@ -248,7 +286,7 @@ def _cells(length: int):
 
     def make():
         def step(texts, wanted):
-            rows, prefix, context, cells, cores, wholes, known, places, single = out = _columns("qqqqQQbqb")
+            rows, context, cells, cores, wholes, known, places, single = out = _columns("qqqQQbqb")
             for i, (data, runs) in enumerate(zip(texts, wanted.to_pylist())):
                 view = memoryview(data.as_buffer())
                 starts = len(view) - length  # the last string
@@ -258,7 +296,6 @@ def _cells(length: int):
                         low, high = anchor - cell * CELL - CELL + 1, anchor - cell * CELL  # first bytes of its strings
                         inside = low >= 0 and high <= starts
                         rows.append(i)
-                        prefix.append(run["prefix"])
                         context.append(run["context"])
                         cells.append(cell)
                         cores.append(xxh64_intdigest(view[high : low + length]))
@@ -266,9 +303,8 @@ def _cells(length: int):
                         known.append(inside)
                         places.append(anchor)
                         single.append(run["single"])
-            rows, prefix, context, cells, cores, wholes, known, places, single = (np.array(x) for x in out)
+            rows, context, cells, cores, wholes, known, places, single = (np.array(x) for x in out)
             return pa.array(rows), [
-                pa.array(prefix),
                 pa.array(context),
                 pa.array(cells.astype(np.int32)),
                 pa.array(cores.view(np.int64)),
@@ -287,22 +323,20 @@ def _strings(length: int):
 
     def make():
         def step(texts, wanted):
-            rows, prefix, context, offsets, digests, lows, single = out = _columns("qqqqQqb")
+            rows, context, offsets, digests, lows, single = out = _columns("qqqQqb")
             for i, (data, cells) in enumerate(zip(texts, wanted.to_pylist())):
                 view = memoryview(data.as_buffer())
                 for c in cells:
                     top = c["anchor"] - c["cell"] * CELL
                     for low in range(max(0, top - CELL + 1), min(top, len(view) - length) + 1):
                         rows.append(i)
-                        prefix.append(c["prefix"])
                         context.append(c["context"])
                         offsets.append(c["anchor"] - low)
                         digests.append(xxh64_intdigest(view[low : low + length]))
                         lows.append(low)
                         single.append(c["single"])
-            rows, prefix, context, offsets, digests, lows, single = (np.array(x) for x in out)
+            rows, context, offsets, digests, lows, single = (np.array(x) for x in out)
             return pa.array(rows), [
-                pa.array(prefix),
                 pa.array(context),
                 pa.array(offsets.astype(np.int32)),
                 pa.array(digests.view(np.int64)),
@@ -315,45 +349,40 @@ def _strings(length: int):
     return make
 
 
-def partial_matches(docs: DataFrame, classes: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(number, low, high): bytes of strings that recur although their runs do not.
+def partial_matches(docs: DataFrame, classes: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``TEXT``, low, high: bytes of strings that recur although their runs do not.
 
     One member stands for each class, so copies cost nothing here. Cells and
     strings are counted by digest after a map-side sum; those that recur go back
     to their rows in slices of their own count.
     """
     contexts = (
-        classes.join(shared, KEY, "left_semi")
-        .groupBy(*KEY)
+        classes.groupBy("context")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") == 1).alias("singles"))
         .where("n > 1 and singles > 0")
-        .select(*KEY, "n")
+        .select("context", "n")
     )
-    contexts = materialize(contexts, "contexts")
-    runs = attach_by_key(classes.withColumn("single", F.col("n") == 1).drop("n"), contexts, KEY)
-    runs = runs.select(*KEY, "member.*", "single")
-    cells = materialize(
-        _window_rows(
-            docs, runs, "prefix bigint, context bigint, cell int, core bigint, text bigint, anchor int, single boolean", _cells(length)
-        ),
-        "cells",
-    )
-    cell_key = [*KEY, "cell", "core"]
+    runs = classes.withColumn("single", F.col("n") == 1).select("context", "member", "single")
+    runs = attach_by_key(runs, materialize(contexts, "contexts"), "context").select("context", "member.*", "single")
+    cells = "context bigint, cell int, core bigint, text bigint, anchor int, single boolean"
+    cells = _window_rows(docs, runs, cells, _cells(length), "cells")
+    cell_key = ["context", "cell", "core"]
     # A cell at a text's end has no whole text: its strings are always looked at.
-    member = F.min(F.struct(F.col("number"), F.col("anchor"))).alias("member")
     kinds = materialize(
         cells.groupBy(*cell_key, "text").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("single").alias("singles"), member
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("single").alias("singles"),
+            F.min(F.struct(*TEXT, "anchor")).alias("member"),
         ),
         "cell-kinds",
     )
-    again = kinds.where("n > 1 and text is not null and singles > 0").select(*KEY, "cell", "text", "n")
+    again = kinds.where("n > 1 and text is not null and singles > 0").select("context", "cell", "text", "n")
     low = F.col("anchor") - F.col("cell") * CELL - (CELL - 1)
     recurring = attach_by_key(
-        cells.where("single and text is not null").select(*KEY, "cell", "text", "number", "anchor"),
+        cells.where("single and text is not null").select("context", "cell", "text", *TEXT, "anchor"),
         materialize(again, "again"),
-        [*KEY, "cell", "text"],
-    ).select("number", low.alias("low"), (low + (CELL - 1 + length)).alias("high"))
+        ["context", "cell", "text"],
+    ).select(*TEXT, low.alias("low"), (low + (CELL - 1 + length)).alias("high"))
     # Cells with a core in common: every kind of known text gives one member, cells without one give all.
     mixed = (
         kinds.groupBy(*cell_key)
@@ -364,23 +393,17 @@ def partial_matches(docs: DataFrame, classes: DataFrame, shared: DataFrame, leng
     mixed = materialize(mixed, "mixed")
     alone = (F.col("singles") > 0) & (F.col("n") == 1)  # of several, each is covered by the cell
     known = attach_by_key(
-        kinds.where("text is not null").withColumn("single", alone).drop("n", "singles", "text"), mixed, cell_key
-    ).select(*KEY, "cell", "member.*", "single")
-    open_ = attach_by_key(cells.where("text is null"), mixed, cell_key).select(*KEY, "cell", "number", "anchor", "single")
-    strings = materialize(
-        _window_rows(
-            docs,
-            known.unionByName(open_),
-            "prefix bigint, context bigint, offset int, digest bigint, low int, single boolean",
-            _strings(length),
-        ),
-        "strings",
-    )
-    string_key = [*KEY, "offset", "digest"]
+        kinds.where("text is not null").select(*cell_key, "member", alone.alias("single")), mixed, cell_key
+    ).select("context", "cell", "member.*", "single")
+    open_ = cells.where("text is null").select(*cell_key, *TEXT, "anchor", "single")
+    open_ = attach_by_key(open_, mixed, cell_key).drop("core")
+    strings = "context bigint, offset int, digest bigint, low int, single boolean"
+    strings = _window_rows(docs, known.unionByName(open_), strings, _strings(length), "strings")
+    string_key = ["context", "offset", "digest"]
     often = strings.groupBy(*string_key).agg(F.count(F.lit(1)).alias("n"), F.count_if("single").alias("singles"))
     often = materialize(often.where("n > 1 and singles > 0").select(*string_key, "n"), "often")
     found = attach_by_key(strings.where("single"), often, string_key)
-    return recurring.unionByName(found.select("number", "low", (F.col("low") + length).alias("high")))
+    return recurring.unionByName(found.select(*TEXT, "low", (F.col("low") + length).alias("high")))
 
 
 def _kept(texts, spans):
@@ -409,36 +432,34 @@ def _joined(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def placed_texts(docs: DataFrame, doc_id: str, text: str, batches: int) -> tuple[DataFrame, str]:
-    """(number, doc_id, data, batch) as a table bucketed by number, and its name.
-
-    Texts cross the shuffle once; joins with what is found about them later
-    move only the findings.
-    """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"riskframe_texts_{uuid.uuid4().hex}"
+def placed_texts(docs: DataFrame, doc_id: str, text: str, batches: int) -> Bucketed:
+    """``TEXT``, doc_id, data, batch as a table bucketed by the input partition, which needs no shuffle."""
     named = with_number(docs.select(quoted(doc_id).alias("doc_id"), whole_bytes(text).alias("data")), "number")
-    # The number is drawn before the rows are dealt, once; a lost task draws the same again from its own rows.
-    rows = named.withColumn("batch", F.pmod(F.xxhash64("number"), F.lit(batches)).cast("int")).repartition(buckets, "number")
-    writer = rows.write.partitionBy("batch").bucketBy(buckets, "number").option("path", new_shared_path(spark, "texts"))
-    writer.saveAsTable(name)
-    return spark.table(name), name
+    dealt = F.pmod(F.xxhash64("number"), F.lit(batches)).cast("int")
+    rows = named.withColumn("part", F.spark_partition_id()).withColumn("batch", dealt)
+    return Bucketed(rows, "texts", "part", split=["batch"])
 
 
-def repeated_spans(table: DataFrame, batches: int = BATCHES, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(number, low, high): bytes of (number, data, batch) covered by a string that starts elsewhere too."""
-    family, entries = Family(), []
-    long_texts = table.where(F.length("data") >= length)
+def repeated_spans(texts: DataFrame, batches: int = BATCHES, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """``TEXT``, low, high: bytes covered by a string that starts elsewhere too."""
+    spark = texts.sparkSession
+    family, paths, entries = Family(), [], []
     for batch in range(batches):
-        own = materialize(index_entries(long_texts.where(F.col("batch") == batch), length, window), "entries")
-        entries.append(own)
-        family.add(own)
-    classes, whole, shared = family.matches()
-    classes = materialize(classes, "classes")
-    covered = attach_by_key(_all(entries), materialize(whole, "whole"), CLASS)
-    covered = covered.select("number", F.col("first").alias("low"), (F.col("last") + length).alias("high"))
-    return covered.unionByName(partial_matches(long_texts, classes, materialize(shared, "shared"), length))
+        own = index_entries(texts.where(F.col("batch") == batch), length, window)
+        paths.append(write_shared(own, "entries"))
+        entries.append(spark.read.schema(own.schema).parquet(paths[-1]))
+        family.add(entries[-1])
+    contexts = materialize(family.contexts(), "contexts")
+    places = materialize(attach_by_key(_all(entries), contexts, "context"), "places")
+    family.drop()
+    for path in paths:
+        remove(spark, path)
+    member = F.min(F.struct(*TEXT, "anchor", "first", "last")).alias("member")
+    classes = materialize(places.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), member), "classes")
+    whole = materialize(classes.where("n > 1").select(*CLASS, "n"), "whole")
+    covered = attach_by_key(places, whole, CLASS)
+    covered = covered.select(*TEXT, F.col("first").alias("low"), (F.col("last") + length).alias("high"))
+    return covered.unionByName(partial_matches(texts, classes, length))
 
 
 def remove_repeats(
@@ -450,14 +471,14 @@ def remove_repeats(
     batches: int = BATCHES,
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    table, name = placed_texts(docs, doc_id, text, batches)
-    spans = repeated_spans(table, batches, length, window)
-    per_text = spans.groupBy("number").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    both = table.join(per_text, "number", "left").select("doc_id", "data", "spans")
+    texts = placed_texts(docs, doc_id, text, batches)
+    spans = repeated_spans(texts.rows, batches, length, window)
+    per_text = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    per_text = materialize(per_text, "spans")
+    both = texts.rows.join(per_text, TEXT, "left").select("doc_id", "data", "spans")
     report = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    out = materialize(
-        map_batches(both, ["doc_id"], [F.col("data"), F.col("spans")], report, lambda: _kept), "repeats"
-    )
-    spark.sql(f"DROP TABLE {name}")  # its files are those of the session
+    rows = map_batches(both, ["doc_id"], [F.col("data"), F.col("spans")], report, lambda: _kept)
+    with _beside_texts(docs.sparkSession):
+        out = materialize(rows, "repeats")
+    texts.drop()
     return out

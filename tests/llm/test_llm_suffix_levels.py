@@ -93,10 +93,20 @@ def test_places_dealt_in_parts(monkeypatch):
 def test_family_merges_equal_sizes(spark):
     family = suffix_levels.Family()
     for i in range(7):
-        rows = [(i, 5, 3, 9, 1, 2, 3), (i, 50, 30, 90, 10, i, i)]
-        family.add(spark.createDataFrame(rows, "number long, " + suffix_levels.ENTRY))
+        rows = [(0, i, 5, 3, 9, 1, 2), (0, i, 50, 30, 90, 10 + i, i)]
+        family.add(spark.createDataFrame(rows, "part int, number long, " + suffix_levels.ENTRY))
         sizes = [2**k for k, level in enumerate(family.levels) if level is not None]
         assert sum(sizes) == i + 1
-    classes, whole, shared = family.matches()
-    assert classes.count() == 8 and [tuple(r) for r in whole.collect()] == [(1, 2, 3, 7)]
-    assert shared.where("context = 2").count() == 1
+    assert sum(a.count() for a in family.arrays()) == 3 + 7
+    assert [tuple(r) for r in family.contexts().collect()] == [(1, 7)]
+    family.drop()
+
+
+def test_scans_and_merges_move_no_rows(spark):
+    tables = [suffix_levels.Bucketed(spark.range(50).selectExpr("id * 3 AS context", "id AS n"), "array", "context") for _ in "ab"]
+    a, b = (t.rows for t in tables)
+    for df in (suffix_levels.merged([a, b]), suffix_levels.long_matches(a, [b])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    for t in tables:
+        t.drop()
