@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,7 +16,8 @@ from riskframe.operators.model import FittedModel
 from riskframe.operators.prep import sparse_parts
 from riskframe.session import new_shared_path
 
-MAX_NODES = 5_000_000
+#: Bytes of a node, and of the trees that are sent to every task.
+NODE_BYTES, MAX_BYTES = 56, 64 << 20
 TOP_FEATURES = 15
 TOP_LOCAL = 10
 TOP_REASONS = 5
@@ -105,16 +105,118 @@ def column_reasons(features: Sequence[str], top: int = TOP_REASONS, prefix="cont
 # --- fitted models -----------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """A leaf's value with, per feature on its path, the interval and the share
-    of training rows that follow the path at that feature's splits."""
+class PackedTrees:
+    """Trees as arrays, for the Shapley values of a whole batch of rows.
+
+    A leaf's game over the features of its path is a product: feature j gives 1
+    or 0 when it is known, and its share of training rows when it is not. Its
+    Shapley values are integrals over t in [0, 1] of products of
+    share + (met - share) t; they are polynomials, so Gauss-Legendre points give
+    them exactly. The products are carried down the tree and the leaves' values
+    back up, each edge is visited once, and rows that meet the same conditions
+    are computed once.
+    """
+
+    def __init__(self, tree, feature, cut, left, right, value, rows):
+        # Nodes of one tree follow each other, children after parents; left and right are places, -1 in leaves.
+        self.tree, self.feature, self.cut = tree, feature, cut
+        self.left, self.right, self.value, self.rows = left, right, value, rows
+        self._made = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_made": None}  # tasks make their own tables
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.tree, self.feature, self.cut, self.left, self.right, self.value, self.rows))
+
+    def _paths(self):
+        """Per node: parent, depth, feature of the edge to it, interval and share of that
+        feature on the whole path, and the nearest edge above of the same feature."""
+        n = len(self.tree)
+        parent, depth, edge, above = (np.full(n, -1) for _ in range(4))
+        low, high, share = np.full(n, -np.inf), np.full(n, np.inf), np.ones(n)
+        inner = np.flatnonzero(self.left >= 0)
+        parent[self.left[inner]] = parent[self.right[inner]] = inner
+        for i in range(n):
+            p = parent[i]
+            if p < 0:
+                depth[i] = 0
+                continue
+            depth[i], edge[i] = depth[p] + 1, self.feature[p]
+            share[i] = self.rows[i] / self.rows[p]
+            over = p
+            while over >= 0 and edge[over] != edge[i]:
+                over = parent[over]
+            if over >= 0:
+                above[i], low[i], high[i] = over, low[over], high[over]
+                share[i] *= share[over]
+            if i == self.left[p]:
+                high[i] = min(high[i], self.cut[p])
+            else:
+                low[i] = max(low[i], self.cut[p])
+        return parent, depth, edge, above, low, high, share
+
+    def _tables(self):
+        if self._made is None:
+            parent, depth, edge, above, low, high, share = self._paths()
+            at, weight = np.polynomial.legendre.leggauss(max(1, (int(depth.max(initial=0)) + 2) // 2))
+            t, weight = (at + 1) / 2, weight / 2
+            met, missed = share[:, None] + (1 - share)[:, None] * t, share[:, None] * (1 - t)
+            # Slopes: (met - share) over the factor.
+            met_slope, missed_slope = (1 - share)[:, None] / met, np.broadcast_to(-1 / (1 - t), missed.shape)
+            self._made = parent, depth, edge, above, low, high, met, missed, met_slope, missed_slope, weight
+        return self._made
+
+    def base(self) -> float:
+        """The log-odds expected when nothing is known."""
+        roots = np.flatnonzero(np.append(True, self.tree[1:] != self.tree[:-1])) if len(self.tree) else []
+        reach = np.zeros(len(self.tree))
+        reach[roots] = 1.0
+        for i in np.flatnonzero(self.left >= 0):
+            for child in (self.left[i], self.right[i]):
+                reach[child] = reach[i] * self.rows[child] / self.rows[i]
+        return float((reach * self.value)[self.left < 0].sum())
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        if not len(x) or not len(self.tree):
+            return out
+        ends = np.flatnonzero(np.append(self.tree[1:] != self.tree[:-1], True)) + 1
+        for first, last in zip(np.concatenate([[0], ends[:-1]]), ends):
+            if last - first > 1:
+                self._add_tree(out, x, first, last)
+        return out
 
-    value: float
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
+    def _add_tree(self, out: np.ndarray, x: np.ndarray, first: int, last: int) -> None:
+        parent, depth, edge, above, low, high, met, missed, met_slope, missed_slope, weight = (
+            t[first:last] if len(t) == len(self.tree) else t for t in self._tables()
+        )
+        on = (x[:, edge] > low) & (x[:, edge] <= high)
+        on[:, 0] = True  # the root has no condition
+        _, kept, place = np.unique(np.packbits(on, axis=1), axis=0, return_index=True, return_inverse=True)
+        on = on[kept].T
+        has = above >= 0
+        over = np.where(has, above - first, 0)
+        product = np.ones((last - first, on.shape[1], len(weight)))
+        levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        factor = np.where(on[..., None], met[:, None, :], missed[:, None, :])
+        for ids in levels:
+            again = np.where(has[ids, None, None], factor[over[ids]], 1.0)
+            product[ids] = product[parent[ids] - first] * factor[ids] / again
+        left, right = self.left[first:last] - first, self.right[first:last] - first
+        leaf = left < 0
+        product[leaf] *= self.value[first:last][leaf, None, None]
+        for ids in [np.array([0]), *levels][::-1]:
+            inner = ids[~leaf[ids]]
+            product[inner] = product[left[inner]] + product[right[inner]]
+        slope = np.where(on[..., None], met_slope[:, None, :], missed_slope[:, None, :])
+        slope = slope - np.where(has[:, None, None], slope[over], 0.0)
+        amount = np.einsum("nuq,q->nu", product * slope, weight)[1:]
+        features, number = np.unique(edge[1:], return_inverse=True)
+        totals = np.zeros((len(features), amount.shape[1]))
+        np.add.at(totals, number, amount)
+        out[:, features] += totals.T[place.reshape(-1)]
 
 
 @dataclass(frozen=True)
@@ -125,48 +227,13 @@ class Explainer:
     base: float
     coefs: np.ndarray | None = None
     means: np.ndarray | None = None
-    leaves: list[Leaf] = field(default_factory=list)
+    trees: PackedTrees | None = None
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """Rows by features; each row adds up to its log-odds minus the base."""
         if self.coefs is not None:
             return (x - self.means) * self.coefs
-        out = np.zeros_like(x)
-        for leaf in self.leaves:
-            add_leaf(out, x, leaf)
-        return out
-
-
-def subset_weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
-
-
-def add_leaf(out: np.ndarray, x: np.ndarray, leaf: Leaf) -> None:
-    """Add one leaf's Shapley values to ``out``.
-
-    A leaf's game over the features of its path is a product: feature j gives
-    1 or 0 when present and its share when absent. The coefficients of the
-    product of (share_j + met_j t) over the other features, weighted by subset
-    size, give each feature's value. Rows with the same conditions met share it.
-    """
-    d = len(leaf.features)
-    if d == 0:
-        return
-    met = (x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)
-    patterns, place = np.unique(met, axis=0, return_inverse=True)
-    on = patterns.astype(float)
-    weights = subset_weights(d)
-    values = np.empty(on.shape)
-    for i in range(d):
-        poly = np.ones((len(on), 1))
-        for j in range(d):
-            if j != i:
-                grown = np.zeros((len(on), poly.shape[1] + 1))
-                grown[:, :-1] = poly * leaf.share[j]
-                grown[:, 1:] += poly * on[:, j : j + 1]
-                poly = grown
-        values[:, i] = leaf.value * (on[:, i] - leaf.share[i]) * (poly @ weights)
-    out[:, leaf.features] += values[place.reshape(-1)]
+        return np.zeros_like(x) if self.trees is None else self.trees.contributions(x)
 
 
 def tree_nodes(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
@@ -186,30 +253,23 @@ def tree_nodes(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
     )
 
 
-def tree_leaves(nodes: Sequence, weights: Sequence[float]) -> tuple[list[Leaf], float]:
-    """Leaves of all trees in log-odds, and the expected log-odds."""
-    by_id = {(n["tree"], n["node"]): n for n in nodes}
-    leaves, base = [], 0.0
-    stack = [((t, 0), {}) for t in range(len(weights))]
-    while stack:
-        (tree, node_id), path = stack.pop()
-        node = by_id[tree, node_id]
-        if node["left"] < 0:
-            value = 2.0 * weights[tree] * node["prediction"]
-            base += value * math.prod(p[2] for p in path.values())
-            if path:
-                low, high, share = (np.array(v) for v in zip(*path.values()))
-                leaves.append(Leaf(value, np.array(list(path)), low, high, share))
-            continue
-        f, cut, below, above = node["feature"], node["bound"], node["left"], node["right"]
-        if node["one_hot"]:  # a split on 0 and 1 names the value that goes left
-            below, above = (below, above) if cut == 0.0 else (above, below)
-            cut = 0.5
-        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
-        for child, bounds in ((below, (low, min(high, cut))), (above, (max(low, cut), high))):
-            part = by_id[tree, child]["rows"] / node["rows"]
-            stack.append(((tree, child), {**path, f: (*bounds, share * part)}))
-    return leaves, base
+def packed_trees(nodes: DataFrame, weights: Sequence[float]) -> PackedTrees:
+    """The node table as arrays in log-odds, after a check of its size."""
+    if nodes.count() * NODE_BYTES > MAX_BYTES:
+        raise ValueError("the booster has too many nodes to send to every task")
+    table = nodes.orderBy("tree", "node").toPandas()
+    tree, node = table["tree"].to_numpy(), table["node"].to_numpy()
+    starts = np.searchsorted(tree, np.arange(len(weights)))
+    left, right = (np.where(table[c] < 0, -1, table[c] + starts[tree]) for c in ("left", "right"))
+    cut, one_hot = table["bound"].to_numpy(float), table["one_hot"].to_numpy(bool)
+    # A split on 0 and 1 names the value that goes left.
+    swap = one_hot & (cut != 0.0)
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    value = 2.0 * np.asarray(weights)[tree] * table["prediction"].to_numpy()
+    assert (node == np.arange(len(tree)) - starts[tree]).all()
+    return PackedTrees(
+        tree, table["feature"].to_numpy(), np.where(one_hot, 0.5, cut), left, right, value, table["rows"].to_numpy(float)
+    )
 
 
 def explainer(model: FittedModel, background: DataFrame | None = None) -> Explainer:
@@ -221,11 +281,8 @@ def explainer(model: FittedModel, background: DataFrame | None = None) -> Explai
         means = model.encoder.transform(background).select(Summarizer.mean(F.col("features"))).first()[0].toArray()
         coefs = clf.coefficients.toArray()
         return Explainer(model.names, float(clf.intercept + means @ coefs), coefs, means)
-    nodes = tree_nodes(SparkSession.active(), clf)
-    if nodes.count() > MAX_NODES:
-        raise ValueError("the booster has too many nodes to send to every task")
-    leaves, base = tree_leaves(nodes.collect(), clf.treeWeights)
-    return Explainer(model.names, base, leaves=leaves)
+    trees = packed_trees(tree_nodes(SparkSession.active(), clf), clf.treeWeights)
+    return Explainer(model.names, trees.base(), trees=trees)
 
 
 def dense_rows(width: int, indices: pd.Series, values: pd.Series) -> np.ndarray:

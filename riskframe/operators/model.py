@@ -2,46 +2,36 @@
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskframe.operators import boost, search
+from riskframe.operators.boost import TUNED_BOOST
 from riskframe.operators.metrics import cv_summary, ranking_metrics
 from riskframe.operators.prep import FeatureSpec, PrepStats, encoder, feature_names, fit_stats, training_sets
 from riskframe.operators.split import SEED, with_folds
-from riskframe.session import materialize
+from riskframe.session import materialize, together
 
 # A learner fits on (features, label) rows.
 Learner = Callable[[DataFrame], Model]
 
-# The published tuned parameters that a level-wise booster has a
-# counterpart for.
-TUNED_BOOST = {
-    "maxIter": 483,
-    "stepSize": 0.010636066512540286,
-    "maxDepth": 11,
-    "minInstancesPerNode": 50,
-    "subsamplingRate": 0.6727299868828402,
-    "featureSubsetStrategy": "0.6733618039413735",
-}
-
-# Default: a sum of shallow trees that fits in minutes, not days.
-DEFAULT_BOOST = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 50, "subsamplingRate": 0.67}
-
 # Search space as (kind, low, high).
 SEARCH_SPACE = {
-    "maxIter": ("int", 200, 600),
-    "stepSize": ("log", 0.01, 0.2),
-    "maxDepth": ("int", 3, 12),
-    "minInstancesPerNode": ("int", 10, 200),
-    "subsamplingRate": ("real", 0.6, 1.0),
-    "featureSubsetStrategy": ("share", 0.6, 1.0),
+    "n_estimators": ("int", 200, 600),
+    "learning_rate": ("log", 0.01, 0.2),
+    "num_leaves": ("int", 15, 127),
+    "max_depth": ("int", 3, 12),
+    "min_child_samples": ("int", 10, 200),
+    "subsample": ("real", 0.6, 1.0),
+    "colsample_bytree": ("real", 0.6, 1.0),
+    "reg_alpha": ("log", 1e-3, 10.0),
+    "reg_lambda": ("log", 1e-3, 10.0),
 }
 TRIALS = 25
 TUNING_FOLDS = 3
@@ -94,17 +84,14 @@ def logistic_learner(max_iter: int = 1000, strength: float = 1.0) -> Learner:
 
 
 def boosted_learner(params: Mapping | None = None, positive_weight: float | None = None, seed: int = SEED) -> Learner:
-    """Gradient-boosted trees with positives weighted by n0/n1."""
+    """Leaf-wise boosted trees with positives weighted by n0/n1; without ``params`` the booster's own defaults."""
 
     def fit(rows: DataFrame) -> Model:
         ratio = positive_weight
         if ratio is None:
             n0, n1 = _class_counts(rows, "label")
             ratio = n0 / n1
-        weight = F.when(F.col("label") == 1, float(ratio)).otherwise(1.0)
-        return GBTClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **{**DEFAULT_BOOST, **(params or {})}
-        ).fit(rows.withColumn("weight", weight))
+        return boost.train(rows, boost.BoostParams(**(params or {})), float(ratio), seed)
 
     return fit
 
@@ -167,16 +154,20 @@ def folded_table(
 
 
 def out_of_fold_scores(folded: FoldedTable, learner: Learner) -> DataFrame:
-    """fold, label, p: each row scored by the model that did not see its fold."""
-    out = None
-    for i in range(folded.k):
+    """fold, label, p: each row scored by the model that did not see its fold.
+
+    The folds' models are fitted side by side over the one written table.
+    """
+
+    def scored(i: int) -> DataFrame:
         train = folded.table.where(F.col("fold") != i)
         model = fit_model(train, folded.spec, folded.target, learner, folded.stats[str(i)])
-        part = score(folded.table.where(F.col("fold") == i), model).select(
+        return score(folded.table.where(F.col("fold") == i), model).select(
             "fold", F.col(folded.target).cast("int").alias("label"), "p"
         )
-        out = part if out is None else out.unionByName(part)
-    return materialize(out, "oof")
+
+    parts = together(folded.table.sparkSession, [partial(scored, i) for i in range(folded.k)])
+    return materialize(reduce(DataFrame.unionByName, parts), "oof")
 
 
 def grouped_cv_scores(folded: FoldedTable, learner: Learner) -> DataFrame:
@@ -186,20 +177,6 @@ def grouped_cv_scores(folded: FoldedTable, learner: Learner) -> DataFrame:
     )
 
 
-def suggest(rng: random.Random, space: Mapping[str, tuple]) -> dict:
-    """One draw from a search space."""
-
-    def draw(kind: str, low: float, high: float):
-        if kind == "int":
-            return rng.randint(int(low), int(high))
-        if kind == "log":
-            return math.exp(rng.uniform(math.log(low), math.log(high)))
-        value = rng.uniform(low, high)
-        return str(value) if kind == "share" else value
-
-    return {name: draw(*bounds) for name, bounds in space.items()}
-
-
 @dataclass(frozen=True)
 class SearchResult:
     best_params: dict
@@ -217,22 +194,37 @@ def tune(
     seed: int = SEED,
     space: Mapping[str, tuple] = SEARCH_SPACE,
     positive_weight: float | None = None,
+    log: str | None = None,
+    study: str = "tuning",
+    at_once: int = 1,
 ) -> SearchResult:
-    """Seeded random search for the best mean out-of-fold average precision."""
+    """Search by Parzen estimators for the best mean out-of-fold average precision.
+
+    ``log`` names a run log: finished trials of the study are read from it and
+    not run again, so a search that broke off goes on where it stopped.
+    ``at_once`` trials are suggested and run side by side.
+    """
+    spark = df.sparkSession
     folded = folded_table(df, spec, target, group, folds, seed)
-    rng = random.Random(seed)
-    trials = []
-    for _ in range(n_trials):
-        params = suggest(rng, space)
+
+    def value(params: dict) -> float:
         scores = grouped_cv_scores(folded, boosted_learner(params, positive_weight, seed))
-        value = scores.agg(F.avg("average_precision")).first()[0]
-        trials.append((params, value))
-    best, value = max(trials, key=lambda t: t[1])
-    return SearchResult(best, value, trials)
+        return scores.agg(F.avg("average_precision")).first()[0]
+
+    trials = search.known_trials(spark, log, study, space)[:n_trials] if log else []
+    while len(trials) < n_trials:
+        numbers = range(len(trials), min(len(trials) + at_once, n_trials))
+        asked = [search.suggest(space, trials, seed, number) for number in numbers]
+        values = together(spark, [partial(value, params) for params in asked])
+        for number, params, found in zip(numbers, asked, values):
+            trials.append((params, found))
+            if log:
+                search.log_trial(spark, log, study, number, params, found)
+    best, found = max(trials, key=lambda t: t[1])
+    return SearchResult(best, found, trials)
 
 
 __all__ = [
-    "DEFAULT_BOOST",
     "FittedModel",
     "FoldedTable",
     "TUNED_BOOST",

@@ -354,9 +354,21 @@ ORACLES["lr_gradient"] = sql(
 )
 
 
+#: Boosters by session and folder: the four boosted queries share one fit.
+FITTED: dict = {}
+
+
+def fitted_boost(spark, d):
+    """The documents and the tuned booster of the labelled ones."""
+    docs, key = documents(spark, d), (spark.sparkContext.applicationId, d)
+    if key not in FITTED:
+        learner = model.boosted_learner(model.TUNED_BOOST)
+        FITTED[key] = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", learner)
+    return docs, FITTED[key]
+
+
 def gbt_score(spark, d) -> DataFrame:
-    docs = documents(spark, d)
-    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(model.TUNED_BOOST))
+    docs, fitted = fitted_boost(spark, d)
     return model.score(docs, fitted).select("doc_id", "quality", "p")
 
 
@@ -370,20 +382,19 @@ QUERIES["gbt_score"] = gbt_score
 QUERIES["cv_lr"] = cv_lr
 
 
-def fitted_boost(spark, d):
-    docs = documents(spark, d)
-    fitted = model.fit_model(docs.where(LABELLED), DOC_SPEC, "quality", model.boosted_learner(model.TUNED_BOOST))
+def explained_boost(spark, d):
+    docs, fitted = fitted_boost(spark, d)
     return docs, fitted, attrib.explainer(fitted)
 
 
 def attrib_tree(spark, d) -> DataFrame:
-    docs, fitted, explain = fitted_boost(spark, d)
+    docs, fitted, explain = explained_boost(spark, d)
     return attrib.model_contributions(docs, fitted, explain, "doc_id")
 
 
 def attrib_tree_gap(spark, d) -> DataFrame:
     """Per row: log-odds minus base minus the contributions (must be nothing)."""
-    docs, fitted, explain = fitted_boost(spark, d)
+    docs, fitted, explain = explained_boost(spark, d)
     p = F.col("p")
     margin = model.score(docs, fitted).select("doc_id", F.log(p / (1 - p)).alias("margin"))
     sums = (
@@ -398,4 +409,4 @@ def attrib_tree_gap(spark, d) -> DataFrame:
 QUERIES["attrib_tree"] = attrib_tree
 QUERIES["attrib_tree_gap"] = attrib_tree_gap
 ORACLES["attrib_tree_gap"] = sql("SELECT doc_id, true AS adds_up FROM docs", "docs")
-QUERIES["attrib_tree_global"] = lambda spark, d: attrib.model_importance(*fitted_boost(spark, d))
+QUERIES["attrib_tree_global"] = lambda spark, d: attrib.model_importance(*explained_boost(spark, d))

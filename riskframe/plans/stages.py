@@ -35,6 +35,7 @@ class Settings:
     cv_folds: int = 5
     trials: int = model.TRIALS
     tuning_folds: int = model.TUNING_FOLDS
+    trials_at_once: int = 1
     confidence: float = conformal.LEVEL
     drift_threshold: float = drift.DRIFT_SHARE
 
@@ -117,10 +118,15 @@ def baseline_stage(spark: SparkSession, s: Settings) -> dict[str, float]:
 def boosting_stage(
     spark: SparkSession, s: Settings, space: Mapping[str, tuple] = model.SEARCH_SPACE
 ) -> tuple[dict, dict[str, float]]:
-    """Search, then cross-validate the best parameters on the baseline's folds."""
+    """Search, then cross-validate the best parameters on the baseline's folds.
+
+    Trials are logged one by one; a stage that is run again goes on after the last.
+    """
     train, _ = _train_test(spark, s)
     spec = _spec(train, s)
-    found = model.tune(train, spec, s.target, s.group, s.trials, s.tuning_folds, s.seed, space)
+    found = model.tune(
+        train, spec, s.target, s.group, s.trials, s.tuning_folds, s.seed, space, log=s.runs, study="boosting", at_once=s.trials_at_once
+    )
     scores = _cv(train, spec, s, model.boosted_learner(found.best_params, seed=s.seed))
     params = {"model": "boosted_trees", "n_trials": s.trials, "tuning_folds": s.tuning_folds, **found.best_params}
     runlog.log_run(spark, s.runs, "boosting", params, {**scores, "tuning_best": found.best_value})

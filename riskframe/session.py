@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +21,7 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
@@ -67,3 +71,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the table's true size for its join choices.
     """
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+
+
+#: Tasks of ``together`` that submit jobs at the same time.
+SIDE_BY_SIDE = 8
+
+
+def together(spark: SparkSession, tasks: Sequence[Callable], most: int = SIDE_BY_SIDE) -> list:
+    """Results of tasks that run Spark jobs side by side, each in a scheduler pool of its own.
+
+    Tasks started from within a task share its pool's threads' settings, not its pool.
+    """
+    if len(tasks) == 1:
+        return [tasks[0]()]
+    context = spark.sparkContext
+
+    def run(number: int):
+        context.setLocalProperty("spark.scheduler.pool", f"together-{number}")
+        try:
+            return tasks[number]()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(min(most, len(tasks))) as threads:
+        return list(threads.map(inheritable_thread_target(spark)(run), range(len(tasks))))

@@ -1,6 +1,5 @@
 import itertools
 import math
-import random
 
 import numpy as np
 import pytest
@@ -13,7 +12,7 @@ from riskframe.streaming import streams
 from tests.data import signal, signal_rows
 
 SPEC = prep.FeatureSpec(["num1"], ["cat1"])
-BOOST = {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 5}
+BOOST = {"n_estimators": 5, "max_depth": 3, "min_child_samples": 5}
 
 
 @pytest.fixture(scope="module")
@@ -77,20 +76,12 @@ def test_grouped_cv(table):
 
 
 def test_tune(table):
-    space = {**model.SEARCH_SPACE, "maxIter": ("int", 2, 4), "maxDepth": ("int", 2, 3)}
-    out = model.tune(table, SPEC, "y", "patient_nbr", n_trials=2, folds=2, space=space)
+    space = {**model.SEARCH_SPACE, "n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 3)}
+    out = model.tune(table, SPEC, "y", "patient_nbr", n_trials=2, folds=2, space=space, at_once=2)
     assert set(out.best_params) == set(space) and 0 <= out.best_value <= 1 and len(out.trials) == 2
     assert out.best_value == max(v for _, v in out.trials)
 
 
-def test_search_draws_stay_in_the_space():
-    rng = random.Random(0)
-    for _ in range(200):
-        for name, value in model.suggest(rng, model.SEARCH_SPACE).items():
-            kind, low, high = model.SEARCH_SPACE[name]
-            assert low <= float(value) <= high and isinstance(value, {"int": int, "share": str}.get(kind, float))
-
-
 # --- attributions ------------------------------------------------------------
 
 
@@ -131,6 +122,55 @@ def test_tree_attributions_are_shapley_values(spark, table, boosted):
             assert np.isclose(got[i], want, atol=1e-9)
 
 
+def test_deep_trees_with_repeated_features_are_shapley_values():
+    """Random trees over few features, against all subsets."""
+    rng = np.random.default_rng(3)
+    cols = {k: [] for k in ("tree", "feature", "cut", "left", "right", "value", "rows")}
+
+    def node(tree, depth, n):
+        at = len(cols["tree"])
+        inner = depth < 6 and n > 1 and (depth < 2 or rng.random() < 0.7)
+        for k, v in zip(cols, (tree, int(rng.integers(4)) if inner else -1, rng.normal(), -1, -1, rng.normal(), n)):
+            cols[k].append(v)
+        if inner:
+            part = int(rng.integers(1, n))
+            cols["left"][at] = node(tree, depth + 1, part)
+            cols["right"][at] = node(tree, depth + 1, n - part)
+        return at
+
+    for tree in range(4):
+        node(tree, 0, 60)
+    node(4, 6, 9)  # one leaf
+    trees = attrib.PackedTrees(*(np.array(cols[k]) for k in ("tree", "feature", "cut", "left", "right", "value", "rows")))
+
+    def game(row, known, i):
+        if trees.left[i] < 0:
+            return trees.value[i]
+        parts = trees.left[i], trees.right[i]
+        if trees.feature[i] in known:
+            return game(row, known, parts[0] if row[trees.feature[i]] <= trees.cut[i] else parts[1])
+        return sum(game(row, known, p) * trees.rows[p] for p in parts) / trees.rows[i]
+
+    roots = [i for i in range(len(trees.tree)) if i == 0 or trees.tree[i] != trees.tree[i - 1]]
+    x = rng.normal(size=(25, 4))
+    phi = trees.contributions(x)
+    assert np.isclose(trees.base(), sum(game(x[0], set(), r) for r in roots))
+    for row, got in zip(x, phi):
+        for i in range(4):
+            want = 0.0
+            for size in range(4):
+                for s in itertools.combinations([j for j in range(4) if j != i], size):
+                    share = math.factorial(size) * math.factorial(3 - size) / math.factorial(4)
+                    want += share * sum(game(row, {*s, i}, r) - game(row, set(s), r) for r in roots)
+            assert np.isclose(got[i], want, atol=1e-9)
+
+
+def test_trees_too_large_to_send_are_refused(boosted, monkeypatch):
+    monkeypatch.setattr(attrib, "MAX_BYTES", 100)
+    with pytest.raises(ValueError):
+        attrib.explainer(boosted)
+
+
 def test_contribution_rows_add_up(table, boosted, linear):
     for fitted in (boosted, linear):
         explain = attrib.explainer(fitted, table)

@@ -7,7 +7,7 @@ from riskframe.plans.standins import view
 from riskframe.sources import bundle, runlog
 
 SF = "/root/testdata/sf0.001"
-SMALL = {"maxIter": 3, "maxDepth": 3}
+SMALL = {"n_estimators": 3, "max_depth": 3}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_training_stages(spark, settings):
     stages.clean_stage(spark, settings)
     found = stages.baseline_stage(spark, settings)
     assert {"average_precision_mean", "roc_auc_std", "brier_mean"} <= set(found)
-    space = {"maxIter": ("int", 2, 3), "maxDepth": ("int", 2, 3)}
+    space = {"n_estimators": ("int", 2, 3), "max_depth": ("int", 2, 3)}
     best, scores = stages.boosting_stage(spark, settings, space)
     assert set(best) == set(space) and 0 <= scores["average_precision_mean"] <= 1
 
