@@ -49,8 +49,8 @@ NARROW, WIDE = 64, 1 << 30
 #: Distinct terms of the items that are searched for at once.
 BLOCK_TERMS = 200_000
 #: Cells (terms or item terms x documents) of one table in a task.
-CELLS = 2_000_000
-SLICE_BYTES = 8 << 20
+CELLS = 1_000_000
+SLICE_BYTES = 4 << 20
 FACTOR = 1_000_000_000
 
 _SIGNATURES = "positions int, lengths array<bigint>, slices binary"
@@ -193,6 +193,11 @@ def _bounds(items: Items, hashes: np.ndarray, row: dict):
         yield at, items.sums(best * items.weights[:, None])
 
 
+def _rows(batch: pa.RecordBatch):
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 _PAIR = "item int, bound bigint"
 
 
@@ -209,7 +214,7 @@ def highest_bounds(index: DataFrame, items: Items, best: int) -> DataFrame:
         places = np.zeros((number, 0), dtype=np.int64)
         for batch in batches:
             kind = batch.schema.field(0).type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 for at, own in _bounds(items, hashes, row):
                     bounds = np.concatenate([bounds, own], axis=1)
                     here = np.arange(len(ids) + at, len(ids) + at + own.shape[1])
@@ -236,7 +241,7 @@ def not_excluded(index: DataFrame, items: Items, cutoffs: np.ndarray) -> DataFra
     def run(batches):
         for batch in batches:
             kind = batch.schema.field(0).type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, asked = [], []
                 for at, bounds in _bounds(items, hashes, row):
                     document, item = np.nonzero((bounds >= cutoffs[:, None]).T)
