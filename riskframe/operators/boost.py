@@ -95,23 +95,16 @@ class Bins:
 def find_bins(rows: DataFrame, width: int, max_bins: int = MAX_BINS) -> Bins:
     """Cut points of the ``features`` vector's slots: midpoints of neighbouring quantiles.
 
-    One row per slot comes back. Slots that hold 0 and 1 only need no sketch.
+    One row per slot comes back.
     """
     _, indices, values = sparse_parts()
     cells = rows.select(F.explode(F.arrays_zip(indices.alias("i"), values.alias("v"))).alias("c")).select("c.*")
-    cells = cells.where("v <> 0")
-    plain = cells.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low = 1 and high = 1")
-    plain = {r["i"] for r in plain.select("i").collect()}  # at most one row per slot
     shares = [k / max_bins for k in range(max_bins + 1)]
-    others = cells.where(~F.col("i").isin(sorted(plain))) if len(plain) <= 1_000 else cells
-    sketched = others.groupBy("i").agg(F.percentile_approx("v", shares, 20 * max_bins).alias("q")).collect()
+    sketch = F.percentile_approx("v", shares, 20 * max_bins).alias("q")
     cuts = [np.empty(0)] * width
-    for slot in plain:
-        cuts[slot] = np.array([0.5])
-    for r in sketched:
-        if r["i"] not in plain:
-            q = np.unique([*r["q"], 0.0])
-            cuts[r["i"]] = (q[:-1] + q[1:]) / 2
+    for r in cells.where("v <> 0").groupBy("i").agg(sketch).collect():
+        q = np.unique([*r["q"], 0.0])
+        cuts[r["i"]] = (q[:-1] + q[1:]) / 2
     return Bins(cuts)
 
 
@@ -466,20 +459,19 @@ def train(rows: DataFrame, params: BoostParams, positive_weight: float, seed: in
     would cost more than the pass; the trees are the same.
     """
     spark = rows.sparkSession
-    first = rows.select(F.size(vector_to_array("features")).alias("width")).first()
-    n, positives = rows.agg(F.count(F.lit(1)), F.sum(F.col("label"))).first()
+    size = F.max(F.size(vector_to_array("features")))
+    n, positives, width = rows.agg(F.count(F.lit(1)), F.sum("label"), size).first()
     if not n or not 0 < positives < n:
         raise ValueError("training rows hold one class only")
-    width = first["width"]
     bins = find_bins(rows, width)
     start = math.log(positive_weight * positives / (n - positives))
     if n < 2 * params.min_child_samples or bins.starts[-1] == width:
         return as_spark_model(spark, [], bins, start, width)
     if 24 * (int(bins.starts[-1]) + 1) * max(1, params.num_leaves // 2) > MAX_SUMS:
         raise ValueError("too many slots for one table of sums; fold rare levels or take fewer bins")
-    table = binned_blocks(rows, bins, max(1, -(-n // BLOCK_ROWS)))
-    blocks = table.rdd.map(lambda r: _unpacked(r, positive_weight))
-    if table.count() == 1:
+    parts = -(-n // BLOCK_ROWS)
+    blocks = binned_blocks(rows, bins, parts).rdd.map(lambda r: _unpacked(r, positive_weight))
+    if parts == 1:
 
         def whole(part):
             held = [b for b in part]
@@ -496,16 +488,30 @@ def train(rows: DataFrame, params: BoostParams, positive_weight: float, seed: in
     return as_spark_model(spark, trees, bins, start, width)
 
 
+_FORMS: dict = {}
+
+
+def _saved_form(spark: SparkSession):
+    """How this version saves a booster, read off a model of one leaf: schemas and descriptions."""
+    key = spark.sparkContext.applicationId
+    if key not in _FORMS:
+        two = spark.createDataFrame([(Vectors.dense([0.0]), 0.0), (Vectors.dense([0.0]), 1.0)], ["features", "label"])
+        path = new_shared_path(spark, "booster-form")
+        GBTClassifier(maxIter=1, maxDepth=1).fit(two).write().save(path)
+        meta = spark.read.parquet(f"{path}/treesMetadata")
+        head = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        _FORMS[key] = spark.read.parquet(f"{path}/data").schema, meta.schema, json.loads(meta.first()[1]), head
+    return _FORMS[key]
+
+
 def as_spark_model(spark: SparkSession, trees: list[Tree], bins: Bins, start: float, width: int) -> GBTClassificationModel:
     """The trees as a model of ``pyspark.ml``, through its saved form.
 
     That model's margin is half the log-odds, so values are halved; the log-odds
     all rows start from go into the first tree.
     """
-    # A model of one leaf shows how this version writes models.
-    two = spark.createDataFrame([(Vectors.dense([0.0]), 0.0), (Vectors.dense([0.0]), 1.0)], ["features", "label"])
-    path, filled = new_shared_path(spark, "booster-form"), new_shared_path(spark, "booster")
-    GBTClassifier(maxIter=1, maxDepth=1).fit(two).write().save(path)
+    filled = new_shared_path(spark, "booster")
+    data, meta, about, head = _saved_form(spark)
     trees = trees or [Tree()]
     # Values below cuts go left; an open slot's bins end at its cuts.
     flat = np.concatenate([np.append(c, np.inf) for c in bins.cuts]) if bins.cuts else np.empty(0)
@@ -517,17 +523,12 @@ def as_spark_model(spark: SparkSession, trees: list[Tree], bins: Bins, start: fl
             split = (tree.slot[i], [float(flat[tree.cell[i]])] if inner else [], -1)
             node = (i, value, 0.0, [float(tree.rows[i]), 0.0, 0.0], tree.rows[i], tree.gain[i], tree.left[i], tree.right[i], split)
             rows.append((number, node))
-    form = spark.read.parquet(f"{path}/data")
-    spark.createDataFrame(rows, form.schema).coalesce(1).write.parquet(f"{filled}/data")
-    meta = spark.read.parquet(f"{path}/treesMetadata")
-    about = meta.first()
-    text = json.dumps({**json.loads(about[1]), "numFeatures": width})
-    listed = pd.DataFrame({meta.columns[0]: range(len(trees)), meta.columns[1]: text, meta.columns[2]: 1.0})
-    spark.createDataFrame(listed, meta.schema).coalesce(1).write.parquet(f"{filled}/treesMetadata")
-    head = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    head.update(numFeatures=width, numTrees=len(trees))
-    head["paramMap"].update(maxIter=len(trees))
-    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{filled}/metadata")
+    spark.createDataFrame(rows, data).coalesce(1).write.parquet(f"{filled}/data")
+    text = json.dumps({**about, "numFeatures": width})
+    listed = pd.DataFrame({meta.names[0]: range(len(trees)), meta.names[1]: text, meta.names[2]: 1.0})
+    spark.createDataFrame(listed, meta).coalesce(1).write.parquet(f"{filled}/treesMetadata")
+    whole = {**head, "numFeatures": width, "numTrees": len(trees), "paramMap": {**head["paramMap"], "maxIter": len(trees)}}
+    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{filled}/metadata")
     return GBTClassificationModel.load(filled)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.operators import drift
+from riskframe.operators import contract, drift
 from riskframe.plans import encounters as enc
-from riskframe.plans.standins import digest_number_sql, rounded, sql, table, view
-from riskframe.session import new_shared_path
-from riskframe.streaming import streams
+from riskframe.plans.catalog_data import PERSON_CONTRACT, findings_sql
+from riskframe.plans.standins import VIEWS, digest_number_sql, rounded, sql, table, view
+from riskframe.session import materialize, new_shared_path
+from riskframe.streaming import streams, unique
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -215,3 +218,64 @@ ORACLES["stream_drift"] = sql(
     SELECT window_start, 'event_type' AS column_name, rows, round(d, 6) AS js_distance, d >= 0.1 AS drifted FROM js""",
     "ref",
 )
+
+
+# Windows that end an hour (the watermark's delay) before the last event are closed.
+CLOSED_SQL = "window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+def stream_closed_windows(spark, d) -> DataFrame:
+    """Counts of the days that the watermark has closed, each written once."""
+    out = new_shared_path(spark, "closed")
+    counts = streams.window_counts(event_stream(spark, d), "ts", CATEGORIES, "1 day")
+    streams.run_closed(counts, streams.write_closed(out), new_shared_path(spark, "stream")).awaitTermination()
+    found = spark.read.parquet(out)
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "column_name", "level", "n")
+
+
+QUERIES["stream_closed_windows"] = stream_closed_windows
+ORACLES["stream_closed_windows"] = f"""
+SELECT * FROM ({ORACLES["stream_window_counts"].strip()}) WHERE {CLOSED_SQL}"""
+
+
+def stream_numeric_drift(spark, d) -> DataFrame:
+    """Drift of the closed days' numbers, by sketches, against the reference days' stored sketch."""
+    out = new_shared_path(spark, "sketch_drift")
+    known = materialize(streams.reference_sketches(view(spark, d, "ref"), NUMBERS), "reference")
+    windows = streams.window_sketches(event_stream(spark, d), "ts", NUMBERS, "1 day")
+    write = streams.write_closed(out, lambda closed: streams.sketch_drift(closed, known))
+    streams.run_closed(windows, write, new_shared_path(spark, "stream")).awaitTermination()
+    found = spark.read.parquet(out).drop("window")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+QUERIES["stream_numeric_drift"] = stream_numeric_drift
+
+# The encounters as a stream with their time, one person a key, and a column that is not delivered.
+STREAM_RULES = [replace(r, unique=r.name == enc.GROUP) for r in PERSON_CONTRACT.rules]
+STREAM_CONTRACT = contract.Contract(enc.KEY, [*STREAM_RULES, contract.ColumnRule("payer_code", "string", nullable=True)])
+
+
+def stream_contract(spark, d) -> DataFrame:
+    """Findings of the contract on a stream: rows' own, repeated keys, absent columns."""
+    unique.use_rocks_state(spark)
+    orders = spark.readStream.schema(table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    text = VIEWS["enc"].replace("FROM {orders}", ", o_orderdate FROM {orders}")
+    good, bad, repeats = (new_shared_path(spark, n) for n in ("good", "findings", "repeats"))
+    # Orders come in no order of time, so the watermark waits for all of them.
+    stream = streams.event_time(spark.sql(text, orders=orders), "o_orderdate", "36500 days")
+    found = unique.unique_stream(stream, STREAM_CONTRACT, "o_orderdate").writeStream.format("parquet").option("path", repeats)
+    found = found.option("checkpointLocation", new_shared_path(spark, "stream")).trigger(availableNow=True).start()
+    checked = streams.check_stream(stream, STREAM_CONTRACT, good, bad, new_shared_path(spark, "stream"))
+    for query in (found, checked):
+        query.awaitTermination()
+    columns = ["row_key", "column_name", "check_name", "failure"]
+    return spark.read.schema(contract.FINDINGS_SCHEMA).parquet(f"{bad}/batch=*").select(*columns).unionByName(
+        spark.read.schema(contract.FINDINGS_SCHEMA).parquet(repeats)
+    )
+
+
+QUERIES["stream_contract"] = stream_contract
+ORACLES["stream_contract"] = (
+    findings_sql(STREAM_RULES) + " UNION ALL SELECT NULL, 'payer_code', 'column_exists', NULL"
+)

@@ -169,5 +169,4 @@ def test_a_table_too_small_to_split_scores_its_rate(spark):
     rate = table.selectExpr("avg(y)").first()[0]
     assert all(np.isclose(r["p"], rate) for r in model.score(table, fitted).collect())
     with pytest.raises(ValueError):
-        boost.train(table.where("y = 0").selectExpr("y AS label").join(
-            spark.createDataFrame([(Vectors.dense([1.0]),)], ["features"])), boost.BoostParams(), 1.0)
+        model.fit_model(table.where("y = 0"), SPEC, "y", model.boosted_learner({}, positive_weight=1.0))
