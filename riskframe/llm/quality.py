@@ -5,8 +5,9 @@ letters, capitals, digits and marks), repeats and proportions. The metadata view
 sees the row's source, language and length. Each view is a logistic regression
 trained on labelled rows and on the rows of an unlabelled pool that the other view
 is sure of; over several rounds they exchange such pseudo-labels. Both are then
-calibrated on labelled rows that trained neither, combined, and score every
-document.
+calibrated, combined, and score every document. Calibration is cross-fitted: each
+part of the labelled rows is judged by models trained on the other parts, so all
+labels train and all labels calibrate, however few they are.
 
 The labelled sample and the pool are bounded by parameters; scoring covers all
 rows in one pass without a shuffle.
@@ -36,8 +37,8 @@ from riskframe.llm.toxicity import best_threshold, labelled_sample
 HELD_OUT = 0
 #: Labelled rows of low and of good quality, and rows of the unlabelled pool, about.
 TRAIN_LOW, TRAIN_GOOD, POOL = 2_000, 4_000, 6_000
-#: Share of the labelled sample that calibrates the views and their sum.
-CALIBRATION = 0.3
+#: Parts of the labelled sample; each is judged by models that the others trained.
+PARTS = 4
 ROUNDS = 5
 #: Pseudo-labels that a view hands over per round and kind, at this calibrated chance or more.
 HANDED, SURE = 200, 0.95
@@ -130,10 +131,13 @@ class Logistic:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> Logistic:
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.05)
+    def fit(
+        cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, near: Logistic | None = None
+    ) -> Logistic:
+        """``near``: a model of similar rows, whose scale is kept and whose weights the steps start from."""
+        mean, scale = (near.mean, near.scale) if near else (x.mean(axis=0), np.maximum(x.std(axis=0), 0.05))
         z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
+        w = near.weights.copy() if near else np.zeros(z.shape[1])
         ridge = np.full(len(w), penalty)
         ridge[-1] = 1e-3
         for _ in range(15):
@@ -150,16 +154,39 @@ class Logistic:
         raw = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
         return self.slope * raw + self.shift
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """A logistic line from the raw logit to the label."""
+    def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
+        """A logistic line from raw logits, of models like this one, to the label."""
         self.slope, self.shift = 1.0, 0.0
         if len(y) and 0 < y.sum() < len(y):
-            raw = self.logits(x)[:, None]
-            line = Logistic.fit(raw, y, np.ones(len(y)), 1e-2)
+            line = Logistic.fit(raw[:, None], y, np.ones(len(y)), 1e-2)
             self.slope = float(line.weights[0] / line.scale[0])
             self.shift = float(line.weights[1] - line.weights[0] * line.mean[0] / line.scale[0])
 
 
+def _parts(y: np.ndarray) -> np.ndarray:
+    """The part of each labelled row; both labels are dealt evenly."""
+    out = np.zeros(len(y), dtype=np.int64)
+    draw = np.random.default_rng(SEED)
+    for label in (0, 1):
+        own = draw.permutation(np.flatnonzero(y == label))
+        out[own] = np.arange(len(own)) % PARTS
+    return out
+
+
+def _cross_fitted(whole: Logistic, view: np.ndarray, y: np.ndarray, part: np.ndarray, more: np.ndarray, labels) -> np.ndarray:
+    """Raw logits of the labelled rows, each by a model that its own part did not train."""
+    raw = np.zeros(len(y))
+    for p in range(PARTS):
+        rest = part != p
+        target = np.concatenate([y[rest], labels])
+        if not 0 < target.sum() < len(target):
+            raw[~rest] = whole.logits(view[~rest])
+            continue
+        model = Logistic.fit(np.vstack([view[rest], more]), target, np.ones(len(target)), near=whole)
+        raw[~rest] = model.logits(view[~rest])
+    return raw
+
+
 @dataclass
 class CoTrained:
     """Both views, how they are added, and the logit that stands for one half."""
@@ -182,22 +209,22 @@ def co_train(
     """Views trained on labelled rows and on the pseudo-labels that they hand each other."""
     if len(y) == 0 or y.min() == y.max():
         return CoTrained(constant=float(y.mean()) if len(y) else 0.5)
-    held = np.random.default_rng(SEED).random(len(y)) < CALIBRATION
-    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-        held = np.zeros(len(y), dtype=bool)
-    judged = held if held.any() else np.ones(len(y), dtype=bool)
+    part = _parts(y)
     views, pools = [text, facts], [pool_text, pool_facts]
     # What each view has been handed by the other: rows of the pool and their labels.
     handed: list[tuple[list[int], list[int]]] = [([], []), ([], [])]
     models: list[Logistic] = []
+    judged: list[np.ndarray] = []
     for turn in range(ROUNDS + 1):
-        models = []
+        models, judged = [], []
         for view, pool, (rows, labels) in zip(views, pools, handed):
-            x = np.vstack([view[~held], pool[rows]]) if rows else view[~held]
-            target = np.concatenate([y[~held], labels])
-            model = Logistic.fit(x, target, np.ones(len(target)))
-            model.calibrate(view[judged], y[judged])
+            more = pool[rows] if rows else view[:0]
+            target = np.concatenate([y, labels])
+            model = Logistic.fit(np.vstack([view, more]), target, np.ones(len(target)))
+            raw = _cross_fitted(model, view, y, part, more, labels)
+            model.calibrate(raw, y)
             models.append(model)
+            judged.append(model.slope * raw + model.shift)
         if turn == ROUNDS or not len(pool_text):
             break
         for giver, receiver in ((0, 1), (1, 0)):
@@ -212,13 +239,12 @@ def co_train(
                 rows.extend(best.tolist())
                 labels.extend([label] * len(best))
     out = CoTrained(models[0], models[1])
-    a, b, _ = out.logits(text[judged], facts[judged])
-    both = Logistic.fit(np.column_stack([a, b]), y[judged].astype(float), np.ones(judged.sum()), 1e-2)
+    both = Logistic.fit(np.column_stack(judged), y.astype(float), np.ones(len(y)), 1e-2)
     w = both.weights[:2] / both.scale
     out.share = np.array([w[0], w[1], both.weights[2] - (w * both.mean).sum()])
-    combined = out.logits(text[judged], facts[judged])[2]
+    combined = out.share[0] * judged[0] + out.share[1] * judged[1] + out.share[2]
     # The threshold is the best one for finding the low ones.
-    out.threshold = -best_threshold(-combined, 1 - y[judged])
+    out.threshold = -best_threshold(-combined, 1 - y)
     return out
 
 
