@@ -6,6 +6,7 @@ import argparse
 
 from riskframe.plans import stages
 from riskframe.session import build_session
+from riskframe.sources import tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -15,7 +16,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--data", required=True)
     parser.add_argument("--models", required=True)
     parser.add_argument("--reports", required=True)
-    parser.add_argument("--source", help="table to ingest or to score")
+    parser.add_argument("--source", help="table to ingest, to score, or to hold against the training table")
     parser.add_argument("--format", default="csv")
     parser.add_argument("--out", help="where scores are written")
     parser.add_argument("--force", action="store_true")
@@ -27,6 +28,8 @@ def main(argv: list[str] | None = None) -> None:
         print(stages.ingest_stage(spark, settings, args.source, args.format, args.force))
     elif args.stage == "score":
         stages.score_stage(spark, settings, args.source, args.out)
+    elif args.stage == "drift":
+        stages.drift_stage(spark, settings, tables.load_clean(spark, args.source)).show(truncate=False)
     elif args.stage in ("profile", "explain"):
         for name, table in getattr(stages, f"{args.stage}_stage")(spark, settings).items():
             print(name)

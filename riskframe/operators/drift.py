@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -21,6 +22,9 @@ DRIFT_SHARE = 0.2  # share of drifted columns above which to retrain
 DISTANCE_LIMIT = 0.1  # a distance at or above this is drift
 P_VALUE_LIMIT = 0.05  # a p-value below this is drift
 MIN_STD = 0.001
+SMALL_ROWS = 1_000  # reference rows up to which tests are used, distances beyond
+FEW_LEVELS = 5  # a numeric column with no more distinct values is compared by levels
+EXACT_ROWS = 10_000  # larger side up to which the Kolmogorov-Smirnov tail is exact
 
 
 # --- repeatable stress of a table -------------------------------------------
@@ -230,18 +234,51 @@ def _ks_tail(d: float, n_ref: int, n_cur: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def ks_tail(d: float, n_ref: int, n_cur: int, exact_rows: int = EXACT_ROWS) -> float:
+    """Exact two-sided Kolmogorov-Smirnov p-value: P(distance of two samples >= d).
+
+    Orders of the two samples are lattice paths from (0, 0) to (n_ref, n_cur), all
+    equally likely; the paths that stay closer to the diagonal than d are counted
+    column by column, scaled so that no number grows. With more than ``exact_rows``
+    on a side the asymptotic tail is taken.
+    """
+    n, m = sorted((int(n_ref), int(n_cur)))
+    if m > exact_rows:
+        return _ks_tail(d, n_ref, n_cur)
+    parts = math.lcm(n, m)
+    steps_n, steps_m = parts // n, parts // m
+    most = round(d * parts) - 1  # |i / n - j / m| * parts may be at most this
+    if most < 0:
+        return 1.0
+    j = np.arange(m + 1)
+    ways = (j * steps_m <= most).astype(float)  # paths along the first column
+    scale = 0.0
+    for i in range(1, n + 1):
+        ways = np.cumsum(np.where(np.abs(i * steps_n - j * steps_m) <= most, ways, 0.0))
+        ways[np.abs(i * steps_n - j * steps_m) > most] = 0.0
+        top = ways.max()
+        if top == 0.0:
+            return 1.0
+        ways /= top
+        scale += math.log(top)
+    inside = math.exp(scale + math.log(ways[m]) - math.lgamma(n + m + 1) + math.lgamma(n + 1) + math.lgamma(m + 1)) if ways[m] else 0.0
+    return min(1.0, max(0.0, 1.0 - inside))
+
+
 @F.pandas_udf(T.DoubleType())
-def p_value(test: pd.Series, stat: pd.Series, levels: pd.Series, n_ref: pd.Series, n_cur: pd.Series) -> pd.Series:
+def p_value(
+    test: pd.Series, stat: pd.Series, levels: pd.Series, n_ref: pd.Series, n_cur: pd.Series, exact: pd.Series
+) -> pd.Series:
     """One value per compared column, so the input has as many rows as columns."""
 
-    def one(t, s, k, a, b):
+    def one(t, s, k, a, b, e):
         if t == "ks":
-            return _ks_tail(s, a, b)
+            return ks_tail(s, a, b, e)
         if t == "chi_square":
             return _upper_tail(s, int(k) - 1)
         return math.erfc(math.sqrt(s / 2)) if t == "z_test" else None
 
-    return pd.Series([one(*row) for row in zip(test, stat, levels, n_ref, n_cur)], dtype="float64")
+    return pd.Series([one(*row) for row in zip(test, stat, levels, n_ref, n_cur, exact)], dtype="float64")
 
 
 # --- report and decision -----------------------------------------------------
@@ -252,14 +289,18 @@ def drift_report(
     current: DataFrame,
     numeric: Sequence[str],
     categorical: Sequence[str],
-    method: str = "distance",
+    method: str = "auto",
     base: float = math.e,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """column_name, test, statistic, p_value, drifted for every column.
 
     ``distance`` compares by Wasserstein (numeric) and Jensen-Shannon distance;
     ``test`` by Kolmogorov-Smirnov, and chi-square or, with two levels,
-    proportions. The caller names the method and each column's kind.
+    proportions. ``auto`` takes tests for columns of at most ``SMALL_ROWS``
+    reference values, distances for longer ones, and compares numeric columns of
+    at most ``FEW_LEVELS`` distinct values as levels; the other two methods take
+    each column as the kind it is passed as.
     """
     parts = []
     if numeric:
@@ -274,8 +315,12 @@ def drift_report(
             )
         )
     table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    measured = F.col("_numeric")
-    by_distance = F.lit({"distance": True, "test": False}[method])
+    if method == "auto":
+        measured = F.col("_numeric") & (F.col("n_levels") > FEW_LEVELS)
+        by_distance = F.col("rows_ref") > SMALL_ROWS
+    else:
+        measured = F.col("_numeric")
+        by_distance = F.lit({"distance": True, "test": False}[method])
     name = (
         F.when(by_distance & measured, "wasserstein")
         .when(by_distance, "jensen_shannon")
@@ -294,7 +339,7 @@ def drift_report(
     if method == "distance":
         out = out.withColumn("p_value", F.lit(None).cast("double"))
     else:
-        out = out.withColumn("p_value", p_value("test", "statistic", "n_levels", "rows_ref", "rows_cur"))
+        out = out.withColumn("p_value", p_value("test", "statistic", "n_levels", "rows_ref", "rows_cur", F.lit(exact_rows)))
     is_distance = F.col("test").isin("wasserstein", "jensen_shannon")
     drifted = F.when(is_distance, F.col("statistic") >= DISTANCE_LIMIT).otherwise(F.col("p_value") < P_VALUE_LIMIT)
     return out.select(

@@ -58,3 +58,39 @@ def top_missing(df: DataFrame, token: str | None = None, n: int = 12) -> DataFra
         .orderBy(F.desc("missing_share"), "column_name")
         .limit(n)
     )
+
+
+# --- profiles that can be united ---------------------------------------------
+
+#: Registers of a distinct-count sketch, as a power of two; its relative error is about 1.04 / sqrt(2 ** it).
+SKETCH_BITS = 12
+
+
+def delivery_profile(df: DataFrame, columns: Sequence[str], delivery: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """One delivery's stored profile: delivery, column_name, n_rows, n_missing, distinct (a sketch).
+
+    Profiles of any deliveries are united by ``united_profile``; a new delivery is
+    profiled alone and appended, the others are not read again.
+    """
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns]
+    return (
+        df.select(F.explode(F.array(*cells)).alias("c"))
+        .select("c.*")
+        .groupBy("column_name")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("level").isNull()).alias("n_missing"),
+            F.hll_sketch_agg("level", F.lit(bits)).alias("distinct"),
+        )
+        .select(F.lit(delivery).alias("delivery"), "column_name", "n_rows", "n_missing", "distinct")
+    )
+
+
+def united_profile(profiles: DataFrame) -> DataFrame:
+    """column_name, n_deliveries, n_rows, missing_share, n_distinct over the given deliveries."""
+    return profiles.groupBy("column_name").agg(
+        F.count_distinct("delivery").alias("n_deliveries"),
+        F.sum("n_rows").alias("n_rows"),
+        (F.sum("n_missing") / F.sum("n_rows")).alias("missing_share"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("n_distinct"),
+    )

@@ -9,6 +9,8 @@ from riskframe.operators.contract import ColumnRule, Contract
 from riskframe.functions.expressions import NUMBER_PATTERN
 from riskframe.plans import encounters as enc
 from riskframe.plans.standins import rounded, sql, table, view
+from riskframe.session import new_shared_path
+from riskframe.sources import runlog, tables
 from riskframe.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -137,6 +139,51 @@ ORACLES["contract_first_findings"] = (
 )
 
 
+
+
+def profile_united(spark, d) -> DataFrame:
+    """Profiles of the orders by month, stored one by one and united; distinct counts are held against exact ones."""
+    orders = table(spark, d, "orders").withColumn("month", F.month("o_orderdate"))
+    columns = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    stored = new_shared_path(spark, "profiles")
+    for half in (0, 1):  # two deliveries; the second is added without reading the first again
+        part = orders.where((F.col("month") > 6).cast("int") == half)
+        profile.delivery_profile(part, columns, f"half-{half}").write.mode("append").parquet(stored)
+    united = profile.united_profile(spark.read.parquet(stored))
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot([], columns, "column_name", "exact")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 4 * 1.04 / 2 ** (profile.SKETCH_BITS / 2)
+    return united.join(exact, "column_name").select(
+        "column_name", "n_deliveries", "n_rows", "missing_share", near.alias("near")
+    )
+
+
+QUERIES["profile_united"] = profile_united
+ORACLES["profile_united"] = """
+SELECT unnest(['o_custkey', 'o_orderstatus', 'o_orderpriority']) AS column_name, CAST(2 AS BIGINT) AS n_deliveries,
+    count(*) AS n_rows, CAST(0 AS DOUBLE) AS missing_share, true AS near FROM orders"""
+
+
+def source_round_trip(spark, d) -> DataFrame:
+    """Orders delivered as CSV, ingested twice, cleaned of nothing, stored and read back by its stage's name."""
+    folder = new_shared_path(spark, "round-trip")
+    orders = table(spark, d, "orders")
+    tables.write_csv(orders.withColumn("o_orderdate", F.col("o_orderdate").cast("string")), f"{folder}/csv")
+    for _ in range(2):  # the second keeps the first's table
+        tables.ingest(spark, f"{folder}/csv", f"{folder}/raw", schema=orders.schema)
+    raw = tables.load_raw(spark, f"{folder}/raw")
+    tables.write_table(raw.where("o_orderstatus <> 'P'"), f"{folder}/clean")
+    run = runlog.log_run(spark, f"{folder}/runs", "round_trip", {"source": "csv"}, {"rows": raw.count()})
+    logged = runlog.read_runs(spark, f"{folder}/runs").where(F.col("run_id") == run)
+    rows = int(logged.where("key = 'rows'").first()["value"])
+    return tables.load_clean(spark, f"{folder}/clean", orders.schema).withColumn("logged_rows", F.lit(rows).cast("bigint"))
+
+
+QUERIES["source_round_trip"] = source_round_trip
+ORACLES["source_round_trip"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+    (SELECT count(*) FROM orders) AS logged_rows FROM orders WHERE o_orderstatus <> 'P'"""
+
+
 def contract_passed(spark, d) -> DataFrame:
     good, _ = contract.split_by_contract(view(spark, d, "enc"), enc.CONTRACT)
     return good.select("encounter_id", "patient_nbr", "age", "time_in_hospital")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from riskframe.operators import score as scoring
 from riskframe.operators import attrib, audit, calibrate, conformal, metrics, model, prep, split
 from riskframe.plans.catalog_prep import DOC_CATEGORICAL, vocabulary_sql
 from riskframe.plans.catalog_split import folds_sql
 from riskframe.plans.standins import LABELLED, rounded, sql, view
-from riskframe.session import materialize
+from riskframe.session import materialize, new_shared_path
+from riskframe.sources import bundle as bundles
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -382,6 +384,24 @@ QUERIES["gbt_score"] = gbt_score
 QUERIES["cv_lr"] = cv_lr
 
 
+def score_bundle(spark, d) -> DataFrame:
+    """Every document's score record from the tuned, calibrated booster, saved as a bundle and loaded again."""
+    docs, fitted = fitted_boost(spark, d)
+    known = materialize(model.score(docs.where(LABELLED), fitted).select(F.col("quality").alias("y"), "p"), "known")
+    calibration = calibrate.fit_calibration(known, "p", "y", "sigmoid")
+    level = conformal.LEVEL
+    _, _, cut = conformal.conformal_threshold(calibration.apply(known, "p", "risk"), "risk", "y", level)
+    path = new_shared_path(spark, "bundle")
+    bundles.save_bundle(spark, scoring.Bundle(fitted, calibration, cut, level, attrib.explainer(fitted)), path)
+    scored = scoring.score_batch(docs, bundles.load_bundle(spark, path), ["doc_id"])
+    return scored.select(
+        "doc_id", "risk", "risk_label", F.size("prediction_set").alias("n_labels"), F.size("top_reasons").alias("n_reasons")
+    )
+
+
+QUERIES["score_bundle"] = score_bundle
+
+
 def explained_boost(spark, d):
     docs, fitted = fitted_boost(spark, d)
     return docs, fitted, attrib.explainer(fitted)

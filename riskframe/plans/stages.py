@@ -219,13 +219,10 @@ def score_stage(spark: SparkSession, s: Settings, source: str, out: str) -> None
     tables.write_table(scoring.score_batch(tables.load_clean(spark, source), bundle), out)
 
 
-def drift_stage(spark: SparkSession, s: Settings, current: DataFrame | None = None) -> DataFrame:
-    """Compare the current table (by default the stressed test side) with the
-    train side over all rows; returns the decision."""
-    train, test = _train_test(spark, s)
+def drift_stage(spark: SparkSession, s: Settings, current: DataFrame) -> DataFrame:
+    """Compare a current clean table with the train side over all rows; returns the decision."""
+    train, _ = _train_test(spark, s)
     spec = _spec(train, s)
-    if current is None:
-        current = drift.stress(test, s.key, enc.STRESS, s.seed)
     report = materialize(drift.drift_report(train, current, spec.numeric, spec.categorical), "drift")
     tables.write_table(report, f"{s.reports_dir}/drift")
     decision = materialize(drift.retraining_decision(drift.drift_share(report), s.drift_threshold), "decision")

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -88,13 +89,13 @@ def test_category_distances(spark):
 
 def test_same_table_does_not_drift(spark):
     _, _, a, _ = sides(spark)
-    rows = drift.drift_report(a, a, ["x"], ["c"]).collect()
+    rows = drift.drift_report(a, a, ["x"], ["c"], "distance").collect()
     assert {(r.test, r.statistic, r.drifted) for r in rows} == {("wasserstein", 0.0, False), ("jensen_shannon", 0.0, False)}
 
 
 def test_report_by_tests_at_the_callers_word(spark):
     _, _, a, b = sides(spark)
-    assert {r.test for r in drift.drift_report(a.limit(500), b, ["x"], ["c"]).collect()} == {"wasserstein", "jensen_shannon"}
+    assert {r.test for r in drift.drift_report(a.limit(500), b, ["x"], ["c"], "distance").collect()} == {"wasserstein", "jensen_shannon"}
     rows = {r.column_name: r for r in drift.drift_report(a.limit(500), b, ["x"], ["c"], method="test").collect()}
     assert rows["x"].test == "ks" and rows["c"].test == "chi_square"
     assert rows["c"].p_value == 0.0 and rows["c"].drifted
@@ -120,8 +121,8 @@ def test_ks_tail():
 def test_the_caller_names_the_kind(spark):
     a = spark.createDataFrame([(i % 4,) for i in range(1500)], "n int")
     b = spark.createDataFrame([(i % 3,) for i in range(1500)], "n int")
-    assert drift.drift_report(a, b, ["n"], []).first().test == "wasserstein"
-    assert drift.drift_report(a, b, [], ["n"]).first().test == "jensen_shannon"
+    assert drift.drift_report(a, b, ["n"], [], "distance").first().test == "wasserstein"
+    assert drift.drift_report(a, b, [], ["n"], "distance").first().test == "jensen_shannon"
 
 
 def test_share_and_decision(spark):
@@ -137,3 +138,40 @@ def test_nothing_compared(spark):
     share = drift.drift_share(spark.createDataFrame([], "drifted boolean"))
     row = drift.retraining_decision(share).first()
     assert math.isnan(row.share) and row.n_drifted == 0 and row.retrain is False
+
+
+def test_small_sample_tail_equals_an_enumeration():
+    """All orders of two samples, their distances counted."""
+    for n, m in ((3, 4), (5, 5), (4, 6)):
+        found = []
+        for places in itertools.combinations(range(n + m), n):
+            a = b = 0
+            gap = 0.0
+            for i in range(n + m):
+                a, b = a + (i in places), b + (i not in places)
+                gap = max(gap, abs(a / n - b / m))
+            found.append(gap)
+        for d in sorted(set(found)):
+            want = sum(g >= d - 1e-12 for g in found) / len(found)
+            assert math.isclose(drift.ks_tail(d, n, m), want, rel_tol=1e-9)
+            assert math.isclose(drift.ks_tail(d, m, n), want, rel_tol=1e-9)
+
+
+def test_exact_tail_meets_the_asymptotic_one():
+    for n, m, d in ((900, 1_000, 0.06), (3_000, 2_500, 0.04), (1_000, 1_000, 0.15)):
+        assert math.isclose(drift.ks_tail(d, n, m), drift._ks_tail(d, n, m), rel_tol=0.1)
+    assert drift.ks_tail(1.0, 40, 40) < 1e-12 and drift.ks_tail(0.0, 40, 40) == 1.0
+
+
+def test_choice_by_rows_and_levels(spark):
+    def side(n, shift):
+        rows = [(float(i % 97) + shift, i % 3, "ab"[i % 2], "xyz"[i % 3]) for i in range(n)]
+        return spark.createDataFrame(rows, "wide double, few int, two string, three string")
+
+    def kinds(n):
+        report = drift.drift_report(side(n, 0.0), side(n // 2, 5.0), ["wide", "few"], ["two", "three"])
+        return {r.column_name: (r.test, r.p_value is None) for r in report.collect()}
+
+    assert kinds(900) == {"wide": ("ks", False), "few": ("chi_square", False), "two": ("z_test", False), "three": ("chi_square", False)}
+    far = {"wide": ("wasserstein", True), **{c: ("jensen_shannon", True) for c in ("few", "two", "three")}}
+    assert kinds(1_200) == far

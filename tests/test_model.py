@@ -1,5 +1,6 @@
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import attrib, calibrate, conformal, model, prep, score
-from riskframe.sources.bundle import load_bundle, save_bundle
+from riskframe.sources import bundle as bundles
+from riskframe.sources.bundle import load_bundle, save_bundle, versions
 from riskframe.streaming import streams
 from tests.data import signal, signal_rows
 
@@ -251,6 +253,30 @@ def test_bundle_round_trip(spark, table, bundle, tmp_path):
     assert one == two
 
 
+def test_a_save_that_breaks_off_leaves_the_former_version(spark, table, bundle, tmp_path, monkeypatch):
+    path = str(tmp_path / "b")
+    first = save_bundle(spark, bundle, path)
+    second = save_bundle(spark, replace(bundle, threshold=0.123), path)
+    assert versions(spark, path) == [first, second]
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(bundles, "_publish", broken)
+    with pytest.raises(OSError):
+        save_bundle(spark, replace(bundle, threshold=0.9), path)
+    assert load_bundle(spark, path).threshold == 0.123
+    assert load_bundle(spark, path, first).threshold == bundle.threshold
+    with pytest.raises(FileNotFoundError):
+        load_bundle(spark, path, "none")
+    with pytest.raises(FileNotFoundError):
+        load_bundle(spark, str(tmp_path / "empty"))
+    # A version whose files were changed is refused.
+    spark.createDataFrame([(1,)], "x int").write.mode("overwrite").parquet(f"{path}/versions/{second}/params")
+    with pytest.raises(ValueError):
+        load_bundle(spark, path)
+
+
 def test_stream_scores_equal_batch_scores(spark, table, bundle, tmp_path):
     path = str(tmp_path / "in")
     table.write.parquet(path)

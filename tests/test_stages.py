@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import model
 from riskframe.plans import encounters as enc
@@ -60,7 +61,10 @@ def test_explain(spark, settings):
 
 def test_drift(spark, settings):
     stages.clean_stage(spark, settings)
-    row = stages.drift_stage(spark, settings).first()
-    assert row.retrain == (row.share > 0.2) and row.n_drifted >= 1
+    clean = spark.read.parquet(settings.cleaned)
+    moved = clean.withColumn("num_medications", F.col("num_medications") * 2).withColumn("gender", F.lit("Female"))
+    row = stages.drift_stage(spark, settings, moved).first()
+    assert row.retrain == (row.share > 0.2) and row.n_drifted >= 2
+    assert stages.drift_stage(spark, settings, clean).first().n_drifted < row.n_drifted
     names = {r.run_name for r in runlog.read_runs(spark, settings.runs).select("run_name").distinct().collect()}
     assert "drift_monitoring" in names
