@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import score as scoring
+from riskframe.operators import wide as wides
 from riskframe.operators import attrib, audit, calibrate, conformal, metrics, model, prep, split
 from riskframe.plans.catalog_prep import DOC_CATEGORICAL, vocabulary_sql
 from riskframe.plans.catalog_split import folds_sql
@@ -356,6 +357,25 @@ ORACLES["lr_gradient"] = sql(
 )
 
 
+def lr_wide(spark, d) -> DataFrame:
+    """Per feature: whether the loss is flat at the coefficients that were fitted as a table."""
+    wide = materialize(view(spark, d, "wide"), "wide")
+    stats = prep.fit_stats(wide, prep.FeatureSpec(WIDE_SPEC.numeric, []))["all"].numeric
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(v.median)) for c, v in stats.items()}
+    numbers = [F.struct(F.lit(c).alias("feature"), ((x - stats[c].mean) / stats[c].std).alias("value")) for c, x in filled.items()]
+    vocabulary = materialize(prep.onehot_vocabulary(wide, WIDE_SPEC.categorical), "vocabulary")
+    cells = prep.onehot_long(wide, "o_orderkey", WIDE_SPEC.categorical, vocabulary).unionByName(
+        wide.select("o_orderkey", F.explode(F.array(*numbers)).alias("c")).select("o_orderkey", "c.*")
+    )
+    found = wides.fit_wide(cells, wide.select("o_orderkey", "y"), "o_orderkey", "y", tolerance=5e-6)
+    constant = spark.createDataFrame([("intercept", found.intercept_gradient)], "feature string, gradient double")
+    every = found.table.select("feature", "gradient").unionByName(constant)
+    return every.select("feature", (F.abs("gradient") / found.n_rows < 1e-5).alias("flat"))
+
+
+QUERIES["lr_wide"] = lr_wide
+ORACLES["lr_wide"] = ORACLES["lr_gradient"]
+
 #: Boosters by session and folder: the four boosted queries share one fit.
 FITTED: dict = {}
 
