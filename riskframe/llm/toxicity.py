@@ -84,8 +84,8 @@ class Network:
         return np.hstack([*parts, self.profiles[buckets[:, 0]]]).astype(np.float32)
 
 
-def _pooled(rows: np.ndarray) -> np.ndarray:
-    """The largest response of every filter, from the words' parts; a text ends in blanks."""
+def _pooled(rows: np.ndarray, starts: int) -> np.ndarray:
+    """The largest response of every filter over windows that start at the first ``starts`` words; a text ends in blanks."""
     out, at = [], 0
     for width in WIDTHS:
         total = np.zeros((len(rows), FILTERS), dtype=np.float32)
@@ -93,7 +93,7 @@ def _pooled(rows: np.ndarray) -> np.ndarray:
             part = rows[j:, at : at + FILTERS]
             total[: len(part)] += part
             at += FILTERS
-        out.append(total.max(axis=0))
+        out.append(total[:starts].max(axis=0))
     return np.concatenate(out)
 
 
@@ -101,12 +101,12 @@ _PARTS = FILTERS * sum(WIDTHS)
 
 
 def pooled_text(rows_of, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(filter maxima, language sums) of a text, block by block; blocks overlap by a window."""
+    """(filter maxima, language sums) of a text, block by block: windows start in a block and may end behind it."""
     best = np.full(FILTERS * len(WIDTHS), -np.inf, dtype=np.float32)
     languages = 0.0
     for at in range(0, n_words, BLOCK_WORDS):
         rows = rows_of(at, min(n_words, at + BLOCK_WORDS + max(WIDTHS) - 1))
-        best = np.maximum(best, _pooled(rows))
+        best = np.maximum(best, _pooled(rows, BLOCK_WORDS))
         languages = languages + rows[:BLOCK_WORDS, _PARTS:].sum(axis=0, dtype=np.float64)
     return best, languages
 
