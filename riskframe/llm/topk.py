@@ -11,13 +11,15 @@ components only, and the lists' scores add up to the whole score.
 3. The entries' vectors are looked up, their scores resolved exactly, and those
    at the cutoff or above are ranked.
 
-Equal vectors have equal scores, so each is kept once with its smallest ids.
+Equal vectors have equal scores, so each is kept once with its smallest ids, a
+repeated row's id as often as it has rows.
 Queries are taken in blocks of bounded size, each against all vectors.
 
 Defined cases: vectors that are missing, empty, or hold a missing or non-finite
 component take no part; shorter vectors count as ended by zeros; rows of the
-query's own id are no candidates; ties go to the smaller id; rows without id
-take no part; an empty table gives no rows.
+query's own id are no candidates; ties go to the smaller id; of a query id with
+several vectors the smallest one, by its components in order, is asked for; rows
+without id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,16 +51,21 @@ def whole_components(vectors: DataFrame, vec_id: str, vector: str, scale: int =
 
 
 def distinct_vectors(points: DataFrame, k: int) -> DataFrame:
-    """(x, ids): each vector once with its k + 1 smallest ids; one may be the query's own."""
+    """(x, ids, vector): each vector once, with a number, to be written before it is read twice, and with the ids of its rows, as many as any query can need.
+
+    Those are the k + 1 smallest different ids (one may be the query's own), each
+    as often as it has rows with the vector, k times at most.
+    """
+    counted = points.groupBy("x", "vec_id").agg(F.count(F.lit(1)).alias("rows"))
     first = Window.partitionBy("x").orderBy("vec_id")
     # The limit on the row number is applied before the shuffle as well.
     return (
-        points.distinct()
-        .withColumn("place", F.row_number().over(first))
+        counted.withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= k + 1)
+        .select("x", F.explode(F.array_repeat("vec_id", F.least("rows", F.lit(k)).cast("int"))).alias("vec_id"))
         .groupBy("x")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-        .withColumn("vector", F.element_at("ids", 1))
+        .withColumn("vector", F.monotonically_increasing_id())
     )
 
 
@@ -124,9 +131,11 @@ def _at_least(cutoffs: np.ndarray, lists: int):
     return choose
 
 
-def _block_top(vectors: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, lists: int) -> DataFrame:
-    """The k best rows of each query of one block."""
-    need = k + 1  # the query's own vector may count for nothing
+def _block_top(
+    vectors: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, lists: int, own: int
+) -> DataFrame:
+    """The k best rows of each query of one block; no query id has more than ``own`` vectors."""
+    need = k + own  # the query's own vectors may count for nothing
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector")
     local = _scan(vectors, numbers, queries, lists, _local_best(need), _SCORED).distinct()
     known = local.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= need)
@@ -171,17 +180,18 @@ def top_inner_products(
     spark = vectors.sparkSession
     points = materialize(whole_components(vectors, vec_id, vector), "components")
     distinct = materialize(distinct_vectors(points, k), "vectors")
-    asked = points.where(is_query).dropDuplicates(["vec_id"])
-    n, width = points.agg(F.count_if(is_query), F.max(F.size("x"))).first()
+    asked = points.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"), F.count_distinct("x").alias("own"))
+    n, width = points.agg(F.count_if(is_query), F.max(F.size("x"))).first()  # repeats only make more blocks
     blocks = max(1, -(-n // block_queries))
     placed = materialize(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries")
+    most_own = placed.agg(F.max("own")).first()[0]
     found = []
     for block in range(blocks if n else 0):
         own = placed.where(F.col("block") == block).select("vec_id", "x").toArrow()  # a block's queries
         if own.num_rows:
             own = own.combine_chunks().to_batches()[0]
             queries = _matrix(own.column(1), width)
-            top = _block_top(distinct, own.column(0).to_numpy(zero_copy_only=False), queries, k, lists)
+            top = _block_top(distinct, own.column(0).to_numpy(zero_copy_only=False), queries, k, lists, most_own)
             found.append(materialize(top, "top") if blocks > 1 else top)
     if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")

@@ -16,7 +16,7 @@ def brute(rows, k=5, every=5):
     for vec_id, v, *_ in rows:
         if vec_id is None or not v or any(c is None or not math.isfinite(c) for c in v):
             continue
-        good.setdefault(vec_id, set()).add(tuple(math.floor(256 * float(np.float32(c))) for c in v))
+        good.setdefault(vec_id, []).append(tuple(math.floor(256 * float(np.float32(c))) for c in v))
     points = sorted((i, v) for i, vs in good.items() for v in vs)
     out = []
     for q in sorted(i for i in good if i % every == 0):
@@ -33,7 +33,10 @@ def table(n=300, seed=0):
     rows += [(1000 + i, hot, 1, 2) for i in range(200)]  # one vector many times
     rows += [(2000, None, 1, 2), (2005, [], 1, 2), (2010, [1.0] * 7 + [None], 1, 2)]
     rows += [(2015, [1.0] * 7 + [float("nan")], 1, 2), (2020, [float("inf")] * 8, 1, 2), (None, hot, 1, 2)]
-    rows += [(3000, [0.25] * 3, 1, 2), rows[7]]  # a shorter vector, a repeated row
+    rows += [(3000, [0.25] * 3, 1, 2), rows[7], rows[7], rows[11], rows[20]]  # a shorter vector, repeated rows
+    best = [3.0] * 8
+    rows += [(25, best, 1, 2), (25, [2.5] * 8, 1, 2), (31, best, 1, 2), (31, best, 1, 2)]  # several vectors of an id
+    rows += [(4000 + i // 2, [4.0] * 8, 1, 2) for i in range(30)]  # every row of two equal ones
     return rows
 
 
