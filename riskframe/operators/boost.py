@@ -7,8 +7,8 @@ order of the splits, so one pass over the blocks sums gradients for the children
 of all splits that are sure to come: a tree takes about as many jobs as it is
 deep. Only the smaller child of a split is summed, its sibling is the rest.
 
-Each pass returns one table of sums, whose size is checked before the first one;
-rows never leave their tasks. Margins are kept beside the blocks and are
+Each pass returns one table of sums, whose size is checked before the first one.
+Rows never leave their tasks: they are dealt into blocks where they lie. Margins are kept beside the blocks and are
 checkpointed now and then, so a lost executor costs a few trees at most.
 
 The result is a ``GBTClassificationModel``: it scores inside the JVM and is
@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -530,7 +529,3 @@ def as_spark_model(spark: SparkSession, trees: list[Tree], bins: Bins, start: fl
     whole = {**head, "numFeatures": width, "numTrees": len(trees), "paramMap": {**head["paramMap"], "maxIter": len(trees)}}
     spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{filled}/metadata")
     return GBTClassificationModel.load(filled)
-
-
-def boost_params(params: Mapping | None = None) -> BoostParams:
-    return BoostParams(**(TUNED_BOOST if params is None else params))
