@@ -43,9 +43,11 @@ BATCH_DOCS = 32
 RATE = 0.05
 #: Positive rows a language needs for a threshold of its own.
 OWN_THRESHOLD = 15
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Words whose responses are held at once.
 BLOCK_WORDS = 65_536
+#: Bytes of texts whose words are held at once.
+SLICE_BYTES = 1 << 20
 SEED = 42
 _WORDS = re.compile(r"\w+")
 
@@ -299,7 +301,7 @@ def score_texts(docs: DataFrame, keep: Sequence[str], text: str, network: Networ
 
         return step
 
-    return map_batches(docs, keep, [quoted(text)], "score double, predicted int, guessed_lang string", make)
+    return map_batches(docs, keep, [quoted(text)], "score double, predicted int, guessed_lang string", make, SLICE_BYTES)
 
 
 def labelled_sample(
