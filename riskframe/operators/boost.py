@@ -8,6 +8,9 @@ of all splits that are sure to come: a tree takes about as many jobs as it is
 deep. Only the smaller child of a split is summed, its sibling is the rest.
 
 Each pass returns one table of sums, whose size is checked before the first one.
+Rows of a label whose cells are all equal share their gradients. Where a large
+table holds many such rows, they become one row with a count, and a draw of rows
+takes a binomial number of them, which is how many of them single draws take.
 Rows never leave their tasks: they are dealt into blocks where they lie. Margins are kept beside the blocks and are
 checkpointed now and then, so a lost executor costs a few trees at most.
 
@@ -116,15 +119,27 @@ class Block:
     weight: np.ndarray
     row: np.ndarray  # of each entry
     cell: np.ndarray
+    times: np.ndarray | None = None  # equal rows that each row stands for; one if left out
 
     def drawn(self, seed: int, tree: int, share: float) -> np.ndarray:
-        """Rows of a tree's sample: the same whenever they are drawn."""
+        """How often each row is in a tree's sample: the same whenever it is drawn."""
         if share >= 1:
-            return np.ones(len(self.label), dtype=bool)
-        return np.random.Generator(np.random.PCG64([seed, tree, self.number])).random(len(self.label)) < share
+            return np.ones(len(self.label)) if self.times is None else self.times.astype(np.float64)
+        draw = np.random.Generator(np.random.PCG64([seed, tree, self.number]))
+        if self.times is None:
+            return (draw.random(len(self.label)) < share).astype(np.float64)
+        return draw.binomial(self.times, share).astype(np.float64)
 
 
-_BLOCK = "number bigint, label binary, sizes binary, cells binary"
+_BLOCK = "number bigint, label binary, sizes binary, cells binary, times binary"
+
+
+def _packed(number: int, labels: list, sizes: list, cells: list, times: list) -> pa.RecordBatch:
+    columns = (labels, "u1"), (sizes, "<i4"), (cells, "<i4"), (times, "<i8")
+    data = [np.concatenate([np.empty(0, t), *x]).astype(t).tobytes() for x, t in columns]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number]), *(pa.array([d], pa.binary()) for d in data)], names=["number", "label", "sizes", "cells", "times"]
+    )
 
 
 def binned_blocks(rows: DataFrame, bins: Bins, parts: int) -> DataFrame:
@@ -148,13 +163,6 @@ def binned_blocks(rows: DataFrame, bins: Bins, parts: int) -> DataFrame:
         labels, sizes, cells, n, made = [], [], [], 0, 0
         part = TaskContext.get().partitionId()
 
-        def block():
-            data = [np.concatenate([np.empty(0, t), *x]).astype(t).tobytes() for x, t in ((labels, "u1"), (sizes, "<i4"), (cells, "<i4"))]
-            number = part << 32 | made
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), *(pa.array([d], pa.binary()) for d in data)], names=["number", "label", "sizes", "cells"]
-            )
-
         for batch in batches:
             index = batch.column(1)
             lengths = np.diff(index.offsets.to_numpy())
@@ -167,21 +175,63 @@ def binned_blocks(rows: DataFrame, bins: Bins, parts: int) -> DataFrame:
             cells.append(found[kept])
             n += len(lengths)
             if n >= BLOCK_ROWS:
-                yield block()
+                yield _packed(part << 32 | made, labels, sizes, cells, [])
                 labels, sizes, cells, n, made = [], [], [], 0, made + 1
         if n:
-            yield block()
+            yield _packed(part << 32 | made, labels, sizes, cells, [])
 
     plain = rows.select(F.col("label").cast("tinyint").alias("label"), indices.alias("i"), values.alias("v"))
     return materialize(plain.coalesce(parts).mapInArrow(run, _BLOCK), "blocks")
 
 
+def equal_rows(blocks: DataFrame) -> DataFrame:
+    """(label, cells, n): the blocks' rows, equal ones once with their number."""
+
+    def run(batches):
+        for batch in batches:
+            for label, sizes, cells in zip(*(batch.column(c).to_pylist() for c in ("label", "sizes", "cells"))):
+                ends = np.cumsum(np.frombuffer(sizes, dtype="<i4"), dtype=np.int64) * 4
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype("<i8").tobytes())
+                rows = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(cells)])
+                own = np.frombuffer(label, dtype="i1")
+                yield pa.RecordBatch.from_arrays([pa.array(own), rows.cast(pa.binary())], names=["label", "cells"])
+
+    rows = blocks.mapInArrow(run, "label tinyint, cells binary")
+    return materialize(rows.groupBy("label", "cells").agg(F.count(F.lit(1)).alias("n")), "equal")
+
+
+def counted_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``equal_rows`` as a written table of blocks, whatever order they come in."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        labels, sizes, cells, times, n, made = [], [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            labels.append(batch.column(0).to_numpy())
+            sizes.append([len(c) // 4 for c in own])
+            cells.append(np.frombuffer(b"".join(own), dtype="<i4"))
+            times.append(batch.column(2).to_numpy())
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield _packed(part << 32 | made, labels, sizes, cells, times)
+                labels, sizes, cells, times, n, made = [], [], [], [], 0, made + 1
+        if n:
+            yield _packed(part << 32 | made, labels, sizes, cells, times)
+
+    dealt = rows.select("label", "cells", "n").repartition(parts, "cells").sortWithinPartitions("cells", "label")
+    return materialize(dealt.mapInArrow(run, _BLOCK), "blocks")
+
+
 def _unpacked(row, positive: float) -> Block:
     label = np.frombuffer(row["label"], dtype="u1").astype(np.float64)
     sizes = np.frombuffer(row["sizes"], dtype="<i4")
     weight = np.where(label == 1, positive, 1.0)
     entry = np.repeat(np.arange(len(label), dtype=np.int32), sizes)
-    return Block(row["number"], label, weight, entry, np.frombuffer(row["cells"], dtype="<i4"))
+    times = np.frombuffer(row["times"], dtype="<i8") if row["times"] else None
+    return Block(row["number"], label, weight, entry, np.frombuffer(row["cells"], dtype="<i4"), times)
 
 
 @dataclass
@@ -205,9 +255,9 @@ class Tree:
         return children
 
 
-def _places(tree: Tree, block: Block, bins: Bins, slot_of: np.ndarray) -> np.ndarray:
-    """The leaf of every row."""
-    node = np.zeros(len(block.label), dtype=np.int64)
+def _places(tree: Tree, block: Block, bins: Bins, slot_of: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+    """The leaf of every row, sought from the root or from nodes that hold the rows."""
+    node = np.zeros(len(block.label), dtype=np.int64) if node is None else node
     slot, cell = np.array(tree.slot), np.array(tree.cell)
     left, right = np.array(tree.left), np.array(tree.right)
     while True:
@@ -231,16 +281,16 @@ def _sums(block: Block, margin: np.ndarray, drawn: np.ndarray, place: np.ndarray
     """(node, cell or total, [g, h, rows]) of a block; the last cell is the node's total."""
     number = np.full(place.max(initial=0) + max(nodes) + 2, -1)
     number[nodes] = np.arange(len(nodes))
-    own = np.where(drawn, number[place], -1)
+    own = np.where(drawn > 0, number[place], -1)
     g, h = _gradients(block, margin)
     size, row = cells + 1, block.row
     used = own[row] >= 0
     entry, rows = own[row[used]] * size + block.cell[used], np.flatnonzero(own >= 0)
     total = own[rows] * size + cells
     out = np.empty((3, len(nodes) * size))
-    for i, v in enumerate((g, h, None)):
-        out[i] = np.bincount(entry, v[row[used]] if v is not None else None, len(nodes) * size)
-        out[i] += np.bincount(total, v[rows] if v is not None else None, len(nodes) * size)
+    for i, v in enumerate((g * drawn, h * drawn, drawn)):
+        out[i] = np.bincount(entry, v[row[used]], len(nodes) * size)
+        out[i] += np.bincount(total, v[rows], len(nodes) * size)
     return out.reshape(3, len(nodes), size)
 
 
@@ -376,12 +426,17 @@ class InTask:
         self.slot_of = bins.slot_of
         self.margins = [np.full(len(b.label), start) for b in blocks]
         self.number = 0
+        self.tree, self.state = None, []
 
     def sums(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        if tree is not self.tree:
+            self.tree = tree
+            self.state = [(b.drawn(self.seed, self.number, self.share), None) for b in self.blocks]
         total = 0.0
-        for block, margin in zip(self.blocks, self.margins):
-            place = _places(tree, block, self.bins, self.slot_of)
-            drawn = block.drawn(self.seed, self.number, self.share)
+        for i, (block, margin) in enumerate(zip(self.blocks, self.margins)):
+            drawn, place = self.state[i]
+            place = _places(tree, block, self.bins, self.slot_of, place)  # a growing tree moves rows further down only
+            self.state[i] = drawn, place
             total = total + _sums(block, margin, drawn, place, nodes, len(self.slot_of))
         return total
 
@@ -455,7 +510,8 @@ def train(rows: DataFrame, params: BoostParams, positive_weight: float, seed: in
     """Fit on (features, label) rows.
 
     Rows that fit one block are boosted inside one task, as a job for every pass
-    would cost more than the pass; the trees are the same.
+    would cost more than the pass; the trees are the same. Of larger tables, equal
+    rows are counted first, if that halves them at least.
     """
     spark = rows.sparkSession
     size = F.max(F.size(vector_to_array("features")))
@@ -469,7 +525,14 @@ def train(rows: DataFrame, params: BoostParams, positive_weight: float, seed: in
     if 24 * (int(bins.starts[-1]) + 1) * max(1, params.num_leaves // 2) > MAX_SUMS:
         raise ValueError("too many slots for one table of sums; fold rare levels or take fewer bins")
     parts = -(-n // BLOCK_ROWS)
-    blocks = binned_blocks(rows, bins, parts).rdd.map(lambda r: _unpacked(r, positive_weight))
+    blocks = binned_blocks(rows, bins, parts)
+    if parts > 1:
+        equal = equal_rows(blocks)
+        kinds = equal.count()
+        if 2 * kinds <= n:
+            parts = -(-kinds // BLOCK_ROWS)
+            blocks = counted_blocks(equal, parts)
+    blocks = blocks.rdd.map(lambda r: _unpacked(r, positive_weight))
     if parts == 1:
 
         def whole(part):

@@ -170,3 +170,24 @@ def test_a_table_too_small_to_split_scores_its_rate(spark):
     assert all(np.isclose(r["p"], rate) for r in model.score(table, fitted).collect())
     with pytest.raises(ValueError):
         model.fit_model(table.where("y = 0"), SPEC, "y", model.boosted_learner({}, positive_weight=1.0))
+
+
+def test_equal_rows_of_a_large_table_are_boosted_once(spark, rows, monkeypatch):
+    many = rows.crossJoin(spark.range(6)).select("features", "label").repartition(3)
+    params = boost.BoostParams(**PLAIN)
+    columns = ["tree", "node", "left", "right", "feature", "rows"]
+    one = nodes(boost.train(many, params, 2.0))
+    monkeypatch.setattr(boost, "BLOCK_ROWS", 700)  # fewer than all rows, more than the different ones
+
+    def job(*_):
+        raise AssertionError("a job for every pass")
+
+    monkeypatch.setattr(boost, "InJobs", job)
+    several = nodes(boost.train(many, params, 2.0))
+    assert one[columns].equals(several[columns]) and np.allclose(one["prediction"], several["prediction"])
+    # Draws: a root's rows are a share of all rows, others for every tree, the same for another layout.
+    drawn = boost.BoostParams(**{**PLAIN, "subsample": 0.6})
+    a, b = (nodes(boost.train(many.repartition(p), drawn, 2.0)) for p in (2, 5))
+    assert a.equals(b)
+    roots = a.loc[a["node"] == 0, "rows"].tolist()
+    assert len(set(roots)) > 1 and all(abs(r - 1440) < 5 * np.sqrt(2400 * 0.6 * 0.4) for r in roots)
