@@ -12,9 +12,10 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskframe.operators.keyed import attach_by_key
 from riskframe.operators.model import FittedModel
 from riskframe.operators.prep import sparse_parts
-from riskframe.session import new_shared_path
+from riskframe.session import materialize, new_shared_path
 
 #: Bytes of a node, and of the trees that are sent to every task.
 NODE_BYTES, MAX_BYTES = 56, 64 << 20
@@ -178,6 +179,15 @@ class PackedTrees:
                 reach[child] = reach[i] * self.rows[child] / self.rows[i]
         return float((reach * self.value)[self.left < 0].sum())
 
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Per row the place of every asked feature's value among its cuts: rows of equal places get equal values."""
+        inner = self.left >= 0
+        asked = np.unique(self.feature[inner])
+        out = np.empty((len(x), len(asked)), dtype="<i4")
+        for k, f in enumerate(asked):
+            out[:, k] = np.searchsorted(np.unique(self.cut[inner & (self.feature == f)]), x[:, f], side="left")
+        return out
+
     def contributions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros_like(x)
         if not len(x) or not len(self.tree):
@@ -308,9 +318,60 @@ def encoded(df: DataFrame, model: FittedModel, keep: Sequence[str]) -> DataFrame
     return model.encoder.transform(df).select(*keep, indices.alias("_indices"), values.alias("_values"))
 
 
+def _with_kind(rows: DataFrame, explain: Explainer) -> DataFrame:
+    """Encoded rows with a key that is equal only for rows of equal contributions, written."""
+    width = len(explain.names)
+
+    @F.pandas_udf("binary")
+    def kind(indices: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for at in batches(width, len(indices)):
+            out += [c.tobytes() for c in explain.trees.cells(dense_rows(width, indices.iloc[at], values.iloc[at]))]
+        return pd.Series(out, dtype=object)
+
+    return materialize(rows.withColumn("_kind", kind("_indices", "_values")), "kinds")
+
+
+def _by_kind(rows: DataFrame, explain: Explainer) -> DataFrame:
+    """(_kind, n, slots, amounts): contributions of one row of every kind, and the number of its rows."""
+    width = len(explain.names)
+
+    def run(parts):
+        for pdf in parts:
+            for at in batches(width, len(pdf)):
+                phi = explain.contributions(dense_rows(width, pdf["_indices"].iloc[at], pdf["_values"].iloc[at]))
+                slots = [np.flatnonzero(p) for p in phi]
+                yield pd.DataFrame(
+                    {"_kind": pdf["_kind"].iloc[at].to_numpy(), "n": pdf["n"].iloc[at].to_numpy(), "slots": slots,
+                     "amounts": [p[c] for p, c in zip(phi, slots)]}
+                )
+
+    one = F.min_by(F.struct("_indices", "_values"), F.xxhash64("_indices", "_values")).alias("row")
+    kinds = rows.groupBy("_kind").agg(F.count(F.lit(1)).alias("n"), one).select("_kind", "n", "row.*")
+    # Neighbouring kinds meet the same conditions of many trees.
+    dealt = kinds.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "_kind")
+    found = dealt.mapInPandas(run, "_kind binary, n bigint, slots array<int>, amounts array<double>")
+    return materialize(found, "contributions")
+
+
 def model_contributions(df: DataFrame, model: FittedModel, explain: Explainer, key: str) -> DataFrame:
-    """(key, feature, value, contribution); features that add nothing are left out."""
+    """(key, feature, value, contribution); features that add nothing are left out.
+
+    Rows that a booster cannot tell apart are attributed once.
+    """
     names, width = np.array(explain.names, dtype=object), len(explain.names)
+    if explain.trees is not None and len(explain.trees.tree):
+        rows = _with_kind(encoded(df, model, [key]), explain)
+        cell = F.explode(F.arrays_zip("slots", "amounts")).alias("c")
+        both = attach_by_key(rows, _by_kind(rows, explain), "_kind").select(key, "_indices", "_values", cell)
+        at = F.array_position("_indices", F.col("c.slots")).cast("int") - 1
+        named = F.lit(list(explain.names))
+        return both.select(
+            key,
+            F.get(named, F.col("c.slots")).alias("feature"),
+            F.coalesce(F.when(at >= 0, F.get("_values", at)), F.lit(0.0)).alias("value"),
+            F.col("c.amounts").alias("contribution"),
+        )
 
     def run(parts):
         for pdf in parts:
@@ -342,15 +403,25 @@ def model_importance(df: DataFrame, model: FittedModel, explain: Explainer, top:
         for pdf in parts:
             for at in batches(width, len(pdf)):
                 x = dense_rows(width, pdf["_indices"].iloc[at], pdf["_values"].iloc[at])
-                total += np.abs(explain.contributions(x)).sum(axis=0)
-                n += len(x)
+                times = pdf["n"].iloc[at].to_numpy()
+                total += times @ np.abs(explain.contributions(x))
+                n += int(times.sum())
         if n:
             yield pd.DataFrame({"feature": explain.names, "total": total, "n": n})
 
+    rows = encoded(df, model, []).withColumn("n", F.lit(1).cast("bigint"))
+    if explain.trees is not None and len(explain.trees.tree):
+        found = _by_kind(_with_kind(rows.drop("n"), explain), explain)
+        cells = found.select("n", F.explode(F.arrays_zip("slots", "amounts")).alias("c"))
+        sums = cells.groupBy(F.col("c.slots").alias("slot")).agg(F.sum(F.abs("c.amounts") * F.col("n")).alias("total"))
+        every = df.sparkSession.createDataFrame(list(enumerate(explain.names)), "slot int, feature string")
+        size = found.agg(F.sum("n").alias("n"))  # one row
+        added = every.join(sums, "slot", "left").crossJoin(F.broadcast(size)).where("n > 0")
+        totals = added.select("feature", F.coalesce("total", F.lit(0.0)).alias("total"), "n")
+    else:
+        totals = rows.mapInPandas(run, "feature string, total double, n bigint")
     return (
-        encoded(df, model, [])
-        .mapInPandas(run, "feature string, total double, n bigint")
-        .groupBy("feature")
+        totals.groupBy("feature")
         .agg((F.sum("total") / F.sum("n")).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
         .limit(top)

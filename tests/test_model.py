@@ -293,3 +293,28 @@ def test_stream_scores_equal_batch_scores(spark, table, bundle, tmp_path):
 
 def test_data_is_seeded():
     assert signal_rows(5) == signal_rows(5)
+
+
+def test_rows_a_booster_cannot_tell_apart_are_attributed_once(spark, table, boosted, tmp_path):
+    plain, asked = attrib.explainer(boosted), str(tmp_path)
+
+    class Counting(attrib.Explainer):
+        def contributions(self, x):
+            import uuid
+
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(len(x)))
+            return super().contributions(x)
+
+    many = table.crossJoin(spark.range(4).withColumnRenamed("id", "copy")).withColumn("row_id", F.expr("row_id * 4 + copy"))
+    counting = Counting(plain.names, plain.base, trees=plain.trees)
+    got = attrib.model_contributions(many.repartition(7), boosted, counting, "row_id").toPandas()
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) <= table.count()
+    rows = attrib.encoded(many, boosted, ["row_id"]).toPandas()
+    x = attrib.dense_rows(len(plain.names), rows["_indices"], rows["_values"])
+    phi = plain.contributions(x)
+    r, c = np.nonzero(phi)
+    want = dict(zip(zip(rows["row_id"].to_numpy()[r], np.array(plain.names)[c]), zip(x[r, c], phi[r, c])))
+    assert len(got) == len(want)
+    for row in got.itertuples():
+        assert np.allclose((row.value, row.contribution), want[row.row_id, row.feature], atol=1e-12)
