@@ -332,6 +332,14 @@ def _with_kind(rows: DataFrame, explain: Explainer) -> DataFrame:
     return materialize(rows.withColumn("_kind", kind("_indices", "_values")), "kinds")
 
 
+def _kinds(rows: DataFrame) -> DataFrame:
+    """(_kind, n, _indices, _values): one row of every kind, and the number of its rows."""
+    one = F.min_by(F.struct("_indices", "_values"), F.xxhash64("_indices", "_values")).alias("row")
+    kinds = rows.groupBy("_kind").agg(F.count(F.lit(1)).alias("n"), one).select("_kind", "n", "row.*")
+    # Neighbouring kinds meet the same conditions of many trees.
+    return kinds.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "_kind")
+
+
 def _by_kind(rows: DataFrame, explain: Explainer) -> DataFrame:
     """(_kind, n, slots, amounts): contributions of one row of every kind, and the number of its rows."""
     width = len(explain.names)
@@ -346,11 +354,7 @@ def _by_kind(rows: DataFrame, explain: Explainer) -> DataFrame:
                      "amounts": [p[c] for p, c in zip(phi, slots)]}
                 )
 
-    one = F.min_by(F.struct("_indices", "_values"), F.xxhash64("_indices", "_values")).alias("row")
-    kinds = rows.groupBy("_kind").agg(F.count(F.lit(1)).alias("n"), one).select("_kind", "n", "row.*")
-    # Neighbouring kinds meet the same conditions of many trees.
-    dealt = kinds.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, "_kind")
-    found = dealt.mapInPandas(run, "_kind binary, n bigint, slots array<int>, amounts array<double>")
+    found = _kinds(rows).mapInPandas(run, "_kind binary, n bigint, slots array<int>, amounts array<double>")
     return materialize(found, "contributions")
 
 
@@ -450,3 +454,16 @@ def reasons_column(explain: Explainer, top: int = TOP_REASONS) -> Column:
     _, indices, values = sparse_parts()
     found = reasons_udf(explain, top)(indices, values)
     return F.zip_with(found["feature"], found["contribution"], lambda f, c: reason(f, c))
+
+
+def with_reasons(df: DataFrame, explain: Explainer, name: str, top: int = TOP_REASONS) -> DataFrame:
+    """Add the reasons of encoded rows (needs ``features``); a table's rows that a booster cannot tell apart share one's."""
+    if df.isStreaming or explain.trees is None or not len(explain.trees.tree):
+        return df.withColumn(name, reasons_column(explain, top))
+    _, indices, values = sparse_parts()
+    rows = _with_kind(df.withColumns({"_indices": indices, "_values": values}).drop("features"), explain)
+    found = reasons_udf(explain, top)("_indices", "_values")
+    kinds = _kinds(rows).select("_kind", "n", found.alias("f"))
+    listed = F.zip_with("f.feature", "f.contribution", lambda f, c: reason(f, c)).alias(name)
+    known = materialize(kinds.select("_kind", "n", listed), "reasons")
+    return attach_by_key(rows, known, "_kind").drop("_kind", "_indices", "_values")

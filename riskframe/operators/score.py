@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.operators.attrib import Explainer, reasons_column
+from riskframe.operators.attrib import Explainer, with_reasons
 from riskframe.operators.calibrate import Calibration
 from riskframe.operators.conformal import prediction_set
 from riskframe.operators.model import FittedModel
@@ -55,14 +55,14 @@ def risk_label(prob: Column, labels: Sequence[str] = LABELS, cutoff: float = CUT
 def score_batch(df: DataFrame, bundle: Bundle, keep: Sequence[str] | None = None) -> DataFrame:
     """Score records: risk, label, prediction set, level, method, reasons.
 
-    One narrow stage, also on a stream. Reasons explain the model's score
-    before calibration.
+    One narrow stage on a stream; on a table, reasons are found once for rows the
+    model cannot tell apart. Reasons explain the model's score before calibration.
     """
     keep = list(keep if keep is not None else df.columns)
     scored = bundle.model.stages.transform(with_feature_columns(df, bundle.model.spec)).select(
         *keep, "features", vector_to_array("probability")[1].alias("_p")
     )
-    scored = bundle.calibration.apply(scored, "_p", "_risk")
+    scored = with_reasons(bundle.calibration.apply(scored, "_p", "_risk"), bundle.explain, "_reasons")
     risk = F.col("_risk")
     return scored.select(
         *keep,
@@ -71,5 +71,5 @@ def score_batch(df: DataFrame, bundle: Bundle, keep: Sequence[str] | None = None
         prediction_set(risk, bundle.threshold, bundle.labels).alias("prediction_set"),
         F.lit(bundle.level).alias("confidence_level"),
         F.lit(bundle.calibration.method).alias("calibration_method"),
-        reasons_column(bundle.explain).alias("top_reasons"),
+        F.col("_reasons").alias("top_reasons"),
     )

@@ -318,3 +318,25 @@ def test_rows_a_booster_cannot_tell_apart_are_attributed_once(spark, table, boos
     assert len(got) == len(want)
     for row in got.itertuples():
         assert np.allclose((row.value, row.contribution), want[row.row_id, row.feature], atol=1e-12)
+
+
+def test_a_tables_reasons_are_found_once_for_rows_alike(spark, table, boosted, tmp_path):
+    plain, asked = attrib.explainer(boosted), str(tmp_path)
+
+    class Counting(attrib.Explainer):
+        def contributions(self, x):
+            import uuid
+
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(len(x)))
+            return super().contributions(x)
+
+    many = table.crossJoin(spark.range(4).withColumnRenamed("id", "copy")).repartition(7)
+    calibration = calibrate.fit_calibration(model.score(table, boosted).select("y", "p"), "p", "y", "sigmoid")
+    made = [score.Bundle(boosted, calibration, 0.5, 0.9, e) for e in (plain, Counting(plain.names, plain.base, trees=plain.trees))]
+    got = score.score_batch(many, made[1], ["row_id", "copy"]).collect()
+    assert len(got) == many.count()
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) <= table.count()
+    encoded_rows = boosted.stages.transform(score.with_feature_columns(table, boosted.spec))
+    want = {r.row_id: r.r for r in encoded_rows.select("row_id", attrib.reasons_column(plain).alias("r")).collect()}
+    assert all(r.top_reasons == want[r.row_id] for r in got)
