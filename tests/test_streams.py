@@ -59,6 +59,35 @@ def test_keys_are_forgotten_after_their_time(spark, tmp_path, rocks):
     assert got == [("3", "c", "unique", "late"), ("5", "c", "unique", "late")]
 
 
+def test_a_bucket_forgets_some_values_and_keeps_the_others(spark, tmp_path, rocks):
+    path = str(tmp_path / "in")
+    deliver(spark, path, [row(0, 1, "x"), row(0, 2, "y"), row(9, 3, "kept"), row(9, 4, "kept too")])
+    deliver(spark, path, [row(11, 5, "late")])  # the watermark passes x and y
+    deliver(spark, path, [row(10, 6, "kept too"), row(11, 7, "x")])
+    contract = Contract("k", [ColumnRule("c", "string", unique=True)])
+    out = str(tmp_path / "out")
+    found = unique.unique_stream(source(spark, path, "1 hour"), contract, "ts", 5 * 3_600_000, buckets=1)
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.schema("row_key string, column_name string, check_name string, failure string").parquet(out).collect()
+    assert sorted((r.row_key, r.failure) for r in got) == [("4", "kept too"), ("6", "kept too")]
+
+
+def test_calls_and_state_are_by_bucket_not_by_value(spark, tmp_path, rocks):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver(spark, path, [row(0, k, f"v{k}") for k in range(400)] + [row(0, k, "hot") for k in range(400, 500)])
+    deliver(spark, path, [row(1, 1000 + k, f"v{k}") for k in range(0, 400, 3)] + [row(1, 2000, "hot"), row(1, 2001, "new")])
+    contract = Contract("k", [ColumnRule("c", "string", unique=True), ColumnRule("k", "bigint")])
+    found = unique.unique_stream(source(spark, path, "2 days"), contract, "ts", 10**9, buckets=8)
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.read.schema("row_key string, column_name string, check_name string, failure string").parquet(out)
+    want = unique_findings(spark.read.parquet(path), contract)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 0 < max(streams.open_rows(query)) <= 8 * 3  # a bucket's values and timers; not 402 values
+
+
 def test_windows_close_once_and_leave_the_state(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     first = [row(h, h, "ab"[h % 2], float(h)) for h in range(0, 20)]
