@@ -39,6 +39,31 @@ def test_coefficients_equal_the_vector_model(spark):
         wide.fit_wide(cells, table.where("y = 0").select("row_id", "y"), "row_id", "y")
 
 
+def test_rows_are_not_written_again_in_each_step(spark, monkeypatch):
+    written, write = [], wide.materialize
+    monkeypatch.setattr(wide, "materialize", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    table = signal(spark, 150)
+    _, cells = cells_of(spark, table)
+    found = wide.fit_wide(cells, table.select("row_id", "y"), "row_id", "y", max_iter=4)
+    assert found.iterations == 4
+    assert sum("key" in columns for _, columns in written) <= 2  # the cells and the packed rows
+
+
+@pytest.mark.parametrize("common", [0.5, 3])
+def test_common_and_other_features_fit_the_same(spark, monkeypatch, common):
+    table = signal(spark, 60)
+    _, cells = cells_of(spark, table)
+    labels = table.select("row_id", "y").unionByName(spark.createDataFrame([(-1, 1)], "row_id long, y int"))  # without cells
+    fit = lambda: wide.fit_wide(cells, labels, "row_id", "y", max_iter=6)
+    whole = fit()
+    monkeypatch.setattr(wide, "COMMON", common)  # no feature is common, or some
+    other = fit()
+    assert whole.iterations == other.iterations == 6
+    assert whole.intercept == pytest.approx(other.intercept) and whole.n_rows == other.n_rows
+    want, got = ({r.feature: (r.coef, r.gradient, r.n) for r in m.table.collect()} for m in (whole, other))
+    assert set(want) == set(got) and all(got[f] == pytest.approx(want[f], abs=1e-6) for f in want)
+
+
 def test_direction_is_the_two_loop_recursion():
     rng = np.random.default_rng(0)
     size, kept = 12, 4
