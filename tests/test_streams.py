@@ -50,6 +50,21 @@ def test_repeats_over_batches_equal_the_batch_findings(spark, tmp_path, rocks):
     assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 5
 
 
+def test_all_rows_are_compared_by_default(spark, tmp_path, rocks):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    old = (pd.Timestamp(1950, 1, 1).to_pydatetime(), 8, "old", 0.0)
+    deliver(spark, path, [row(0, 1, "x"), row(0, 2, "y"), old, (None, 9, "no time", 0.0)])
+    deliver(spark, path, [row(0, 3, "z", day=28)])  # the watermark passes all before
+    deliver(spark, path, [row(0, 4, "x", day=29), row(0, 5, "y"), (old[0], 6, "old", 0.0), (None, 7, "no time", 0.0)])
+    contract = Contract("k", [ColumnRule("c", "string", unique=True)])
+    found = unique.unique_stream(source(spark, path, "1 hour"), contract, "ts")
+    query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.schema("row_key string, column_name string, check_name string, failure string").parquet(out).collect()
+    want = unique_findings(spark.read.parquet(path), contract).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 8
+
+
 def test_keys_are_forgotten_after_their_time(spark, tmp_path, rocks):
     path = str(tmp_path / "in")
     deliver(spark, path, [row(0, 1, "x"), row(0, 2, "y")])
