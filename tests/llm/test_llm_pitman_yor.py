@@ -143,3 +143,50 @@ def test_model_beats_the_base_on_held_out_text(spark):
     sf = "/root/testdata/sf0.001"
     rows = py.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def ids_of(held, many):
+    return [k for k in range(10_000) if fold(k, 1) == held][:many]
+
+
+def test_rare_words_have_contexts_of_their_own(spark):
+    """Words below 1/4,096 of the tokens, each followed by a word of its own."""
+    train, held = ids_of(False, 9), ids_of(True, 4)
+    rows = [(train[0], "f " * 40_000)]
+    rows += [(k, f"{u} {x}") for k, (u, x) in zip(train[1:], [("ua", "xa"), ("ub", "xb")] * 4)]
+    asked = ["ua xa", "ua xb", "ub xa", "ub xb"]
+    docs = spark.createDataFrame(rows + list(zip(held, asked)), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in py.score_documents(docs).collect()}
+    same, other, crossed, own = (score[k] for k in held)
+    assert same > other + 0.5 and own > crossed + 0.5
+
+
+def test_pairs_seen_once_are_scored_exactly(spark, monkeypatch):
+    """Without a repeated word nothing is drawn, whatever the parts and blocks."""
+    monkeypatch.setattr(py, "PART_TOKENS", 5)
+    (train,), held = ids_of(False, 1), ids_of(True, 4)
+    texts = {train: "a b c d e f g h", held[0]: "a b c", held[1]: "b d new a a", held[2]: None, held[3]: "h new b c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    known = tokens(texts[train])
+    n, d = len(known), 0.95
+    pairs = set(zip([None, *known], known))
+    base = 1 / (n + 1)
+
+    def chance(u, w):
+        rest = (1 + d * n) / (1 + n)
+        parent = (1 - d if w in known else 0) / (1 + n) + rest * base
+        own, open_ = (((u, w) in pairs) * (1 - d) / 2, (1 + d) / 2) if u in known else (0, 1)
+        return own + open_ * parent
+
+    got = {r["doc_id"]: r for r in py.score_documents(docs).collect()}
+    assert len(got) == len(texts)
+    for k, text in texts.items():
+        words = tokens(text)
+        assert got[k]["score"] == pytest.approx(sum(math.log10(chance(u, w)) for u, w in zip([None, *words], words)))
+        assert got[k]["n_known"] == sum(w in known for w in words) and got[k]["train_tokens"] == n
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.array([3, -1, 2**60]), np.zeros(0, "<u4"), np.array([0.5, -2.0]), np.arange(5, dtype="<u4")]
+    for a, b in zip(arrays, py.unpack(py.pack(*arrays)), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
